@@ -7,6 +7,7 @@ sequence, so words are found on bytes and equal those found on characters.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -54,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: they stay until the driver
+    happens to collect its garbage, which a long loop shouldn't wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is among ``ids``.  The ids are counted: up to
     ``limit`` they are broadcast and ``df`` stays where it is; beyond, both sides
