@@ -5,8 +5,9 @@ whole sequences and a rest.  The histogram of piece lengths (at most ``size`` nu
 whatever the corpus) goes to the driver, where the program "fewest patterns that cover
 every length" is solved by multiplicative weights: each round prices the lengths, a
 knapsack table over the capacity gives the best pattern, and the lengths it covers lose
-weight.  The fractional counts are scaled to what there is and rounded down; the
-lengths left over, few, are packed by best fit, again on counts.  The plan (a row for
+weight.  The fractional counts of patterns without room to spare are scaled to what
+there is and rounded down; the lengths left over are packed by best fit, again on
+counts.  The plan (a row for
 each length in each pattern) is bounded by the histogram, not the corpus.
 
 Pieces take places by their rank among those of their length.  Ranks are counted in
@@ -155,6 +156,8 @@ def solve(have: np.ndarray, rounds: int = 150, rate: float = 0.35) -> list[tuple
             amount[key] = amount.get(key, 0) + step
         # scaled so that no length is used more than it is there, then rounded down
         for key, x in sorted(amount.items(), key=lambda kv: -kv[1]):
+            if sum(l * a for l, a in key) < size:
+                continue  # cut off by what there is: such room is better filled at the end
             times = int(min(x / max(1.0, max(covered[l] for l, _ in key)), min(left[l] // a for l, a in key)))
             if times > 0:
                 plan.append((dict(key), times))
