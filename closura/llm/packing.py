@@ -32,8 +32,8 @@ from .common import cut, texts
 
 SIZE = 4096
 END = 1
-GROUP = 20_000
-WORDS_KEPT = 500_000  # words whose ids a worker remembers
+GROUP = 2_000
+WORDS_KEPT = 1_200_000  # words whose ids a worker remembers
 
 #: Letters of Latin-1 in lower case (fixed values); the other ranges of SAFE leave out
 #: digits that aren't 0-9 and what other libraries class differently.
@@ -55,19 +55,32 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, strings: list[str]) -> list[bytes]:
         batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in batch(strings, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """All words in one text; a token with the word-end mark closes each."""
+        ids = np.frombuffer(self._ids([" ".join(words)])[0], "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *at], at)), strict=False))
+        else:
+            self.known.update(zip(words, self._ids(words), strict=True))
+
     def encode(self, strings: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
         words: list = [None if UNSAFE.search(t) else WORD.findall(t.lower()) for t in strings]
-        new = list({w for ws in words if ws for w in ws if w not in known})
+        new = list(set().union(*filter(None, words)).difference(known))
         for a in range(0, len(new), 10_000):
-            known.update(zip(new[a : a + 10_000], self._ids(new[a : a + 10_000]), strict=True))
+            self._learn(new[a : a + 10_000])
         look = known.__getitem__
         return [self._ids([t])[0] if ws is None else b"".join(map(look, ws)) for t, ws in zip(strings, words, strict=True)]
 
