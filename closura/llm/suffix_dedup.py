@@ -11,14 +11,17 @@ text that they span, is a segment; each start is in exactly one.  Per key:
 
 * one segment, once: nothing there is repeated;
 * a segment whose text comes more than once: all its starts are repeated;
-* different segments: their texts, one of each, are concatenated to shards, for
+* different segments: starts are told apart by their distance to the key's substring,
+  in blocks of ``BLOCKS``; all strings of a block share a core of ``length + 1 - block``
+  bytes, so only segments with equal cores go on, and equal parts are settled again;
+* what is left, around the ends of repeated text, is concatenated to shards, for
   which a suffix array is made by induced sorting (Nong, Zhang & Chan 2009): suffixes
   are classified, the leftmost-smaller substrings sorted and named, recursively where
   names repeat, and the array is induced from them in two linear passes.  Permuted
   common prefixes (Karkkainen, Manzini & Puglisi 2009) then part the suffixes into
   classes that share ``length`` bytes; a class with two owned starts is repeated.
 
-A key with over ``block`` segments is salted over several shards; each sends one hash
+A group of over ``block`` segments is salted over several shards; each sends one hash
 for a class, with which classes are then joined across the shards.
 
 Cases: null text is empty; texts shorter than ``length`` keep all; repeated rows are
@@ -31,11 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, mix, prefix_sums, slices, span_hash
+from .common import cut, mix, prefix_sums, slices, span_hash, tidy
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 128  # bytes hashed for a key
-BLOCK = 512  # segments of a key in one shard
+BLOCKS = (68, 8)  # starts told apart by their cores, coarse then fine
+BLOCK = 512  # segments of a group in one shard
 SHARD_BYTES = 1 << 20
 STARTS = 1 << 21  # starts that one vectorised step looks at
 
@@ -175,8 +179,8 @@ def repeated_classes(segments: list[bytes], owned: list[int], length: int) -> tu
 
 
 def segments_of(raw: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """Row, first start in the row, number of starts, key and text hash of each
-    segment."""
+    """Row, first start in the row, number of starts, place of the key's substring, key
+    and text hash of each segment."""
     got = []
     width = length - gram + 1
     sums = prefix_sums(raw) if len(raw) >= length else None
@@ -202,7 +206,7 @@ def segments_of(raw: np.ndarray, offs: np.ndarray, length: int, gram: int):
         count = np.diff(np.append(first, len(valid)))
         begin = start[valid[first]]
         rows = r[first]
-        got.append((rows, begin - offs[rows], count, h[a[first]].view(np.int64), span_hash(sums, begin, begin + count - 1 + length).view(np.int64)))
+        got.append((rows, begin - offs[rows], count, lo + a[first] - begin, h[a[first]].view(np.int64), span_hash(sums, begin, begin + count - 1 + length).view(np.int64)))
     return [np.concatenate(x) for x in zip(*got, strict=True)] if got else None
 
 
@@ -214,13 +218,13 @@ def segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 got = segments_of(raw, offs, length, gram)
                 if got is None:
                     continue
-                rows, begin, count, key, seg = got
+                rows, begin, count, at, key, seg = got
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).take(pa.array(rows)), pa.array(begin, pa.int64()), pa.array(count, pa.int32()), pa.array(key), pa.array(seg)],
-                    names=["doc_id", "begin", "count", "key", "seg"],
+                    [ids.slice(a, b - a).take(pa.array(rows)), pa.array(begin, pa.int64()), pa.array(count, pa.int32()), pa.array(at, pa.int32()), pa.array(key), pa.array(seg)],
+                    names=["doc_id", "begin", "count", "at", "key", "seg"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, begin long, count int, key long, seg long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, begin long, count int, at int, key long, seg long")
 
 
 def _intervals(rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,73 +234,116 @@ def _intervals(rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard_results(texts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """For each shard of (key, salt, split, seg, copies, count, body): repeated starts
-    as (key, seg, first, last); for salted keys also (key, seg, first, window) for one
-    start of each class, ``last`` null, ``first`` of a start that only it has or -1."""
+    """For each shard of (grp, salt, split, key, seg, base, copies, count, body): repeated
+    starts as (key, seg, first, last); for salted groups also (grp, window) for one start
+    of each class, ``last`` null, ``first`` that of a start that only it has or -1."""
+
+    kinds = {"grp": pa.int64(), "key": pa.int64(), "seg": pa.int64(), "first": pa.int32(), "last": pa.int32(), "window": pa.int64()}
+    fields = ("grp", "salt", "split", "key", "seg", "base", "copies", "count", "body")
 
     def shard(rows: list) -> pa.RecordBatch:
-        which, rel, group = repeated_classes([r[5] for r in rows], [r[4] for r in rows], length)
-        copies = np.array([r[3] for r in rows])
+        which, rel, group = repeated_classes([r["body"] for r in rows], [r["count"] for r in rows], length)
+        copies = np.array([r["copies"] for r in rows])
         weight = np.bincount(group, copies[which])
-        out = {k: [] for k in ("key", "seg", "first", "last", "window")}
-        twice = weight[group] >= 2
+        out: dict[str, list] = {k: [] for k in kinds}
+
+        def put(r: dict, first: int, last: int | None, window: int | None) -> None:
+            for name, v in zip(out, (r["grp"], r["key"], r["seg"], first, last, window), strict=True):
+                out[name].append(v)
+
+        twice = np.flatnonzero(weight[group] >= 2)
         for k in np.unique(which[twice]):
-            if copies[k] > 1:
-                continue
-            for x, y in zip(*_intervals(rel[twice & (which == k)]), strict=True):
-                for name, v in zip(out, (rows[k][0], rows[k][2], int(x), int(y), None), strict=True):
-                    out[name].append(v)
-        split = np.array([r[1] for r in rows])
+            if copies[k] == 1:
+                for x, y in zip(*_intervals(rel[twice[which[twice] == k]]), strict=True):
+                    put(rows[k], rows[k]["base"] + int(x), rows[k]["base"] + int(y), None)
+        split = np.array([r["split"] for r in rows])
         if split.any():
             _, one = np.unique(group, return_index=True)
             one = one[split[which[one]]]
             for k in np.unique(which[one]):
                 mine = one[which[one] == k]
-                sums = prefix_sums(np.frombuffer(rows[k][5], np.uint8))
+                sums = prefix_sums(np.frombuffer(rows[k]["body"], np.uint8))
                 window = span_hash(sums, rel[mine], rel[mine] + length).view(np.int64)
                 alone = weight[group[mine]] < 2
                 for x, w, solo in zip(rel[mine].tolist(), window.tolist(), alone.tolist(), strict=True):
-                    for name, v in zip(out, (rows[k][0], rows[k][2], x if solo else -1, None, w), strict=True):
-                        out[name].append(v)
-        kinds = {"key": pa.int64(), "seg": pa.int64(), "first": pa.int32(), "last": pa.int32(), "window": pa.int64()}
+                    put(rows[k], rows[k]["base"] + x if solo else -1, None, w)
         return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
     def run(batches):
         held: list = []
         size, last = 0, None
         for batch in batches:
-            for key, salt, split, seg, copies, count, body in zip(*(batch.column(k).to_pylist() for k in ("key", "salt", "split", "seg", "copies", "count", "body")), strict=True):
-                if held and (key, salt) != last and size + len(body) > shard_bytes:
+            for r in batch.select(fields).to_pylist():
+                now = (r["grp"], r["salt"])
+                if held and now != last and size + len(r["body"]) > shard_bytes:
                     yield shard(held)
                     held, size = [], 0
-                held.append((key, split, seg, copies, count, body))
-                size, last = size + len(body), (key, salt)
+                held.append(r)
+                size, last = size + len(r["body"]), now
         if held:
             yield shard(held)
 
-    ordered = texts.repartition("key", "salt").sortWithinPartitions("key", "salt", "seg")
-    return ordered.mapInArrow(run, "key long, seg long, first int, last int, window long")
+    ordered = texts.select(*fields).repartition("grp", "salt").sortWithinPartitions("grp", "salt", "seg", "base")
+    return ordered.mapInArrow(run, "grp long, key long, seg long, first int, last int, window long")
+
 
+def _told_apart(rows: DataFrame, block: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (grp, key, seg, base, at, count, copies, body) by blocks of starts.
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    Marks (key, seg, first, last) of starts whose whole block of text comes again, and
+    the rows of groups in which different texts have the same core."""
+    most = (length - 1) // block + 1
+    lo = F.greatest(F.lit(0), F.col("at") - (F.col("j") + 1) * block + 1)
+    hi = F.least(F.col("count") - 1, F.col("at") - F.col("j") * block)
+    cut_to = lambda start, size: F.xxhash64(F.expr(f"substring(body, {start} + 1, {size})"))
+    blocks = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    parts = blocks.select(
+        "grp", "key", "seg", "base", "j", "lo", "hi", "copies",
+        cut_to(f"(at - j * {block})", length + 1 - block).alias("core"),
+        F.xxhash64(cut_to("lo", f"(hi - lo + {length})"), F.col("at") - F.col("lo"), F.col("hi") - F.col("lo")).alias("part"),
+    )
+    parts = cut(parts)
+    own = parts.groupBy("grp", "j", "core", "part").agg(F.sum("copies").alias("total"), F.min(F.struct("key", "seg", "base")).alias("one"))
+    own = cut(own)
+    groups = own.groupBy("grp", "j", "core").agg(F.count("*").alias("kinds"), F.min("total").alias("least")).where("kinds > 1 and least = 1").select("grp", "j", "core")
+    again = own.where("total > 1").select("grp", "j", "core", "part")
+    marks = parts.where("copies = 1").join(again, ["grp", "j", "core", "part"]).select("key", "seg", (F.col("base") + F.col("lo")).cast("int").alias("first"), (F.col("base") + F.col("hi")).cast("int").alias("last"))
+    left = own.join(groups, ["grp", "j", "core"]).select(F.col("grp"), "one.*", "j", "core", "total")
+    body = left.join(rows.select("grp", "key", "seg", "base", "at", "count", "body"), ["grp", "key", "seg", "base"]).withColumn("lo", lo).withColumn("hi", hi)
+    body = body.select(
+        F.xxhash64("grp", "j", "core").alias("grp"), "key", "seg", (F.col("base") + F.col("lo")).cast("int").alias("base"), (F.col("at") - F.col("lo")).alias("at"), (F.col("hi") - F.col("lo") + 1).alias("count"),
+        F.col("total").alias("copies"), F.expr(f"substring(body, lo + 1, hi - lo + {length})").alias("body"),
+    )
+    return cut(marks), cut(body)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blocks: tuple = BLOCKS, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, spans: array of (start, end) of repeated bytes, overlapping or not, for
     the documents that have any."""
+    spark = docs.sparkSession
     segments = cut(segment_table(docs, length, gram))
-    kinds = segments.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "begin", "count")).alias("one"))
-    kinds = cut(kinds.select("key", "seg", "copies", "one.*"))
-    keys = kinds.groupBy("key").agg(F.count("*").alias("segs"), F.min("copies").alias("least")).where("segs > 1 and least = 1").select("key", "segs")
+    kinds = segments.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "begin", "count", "at")).alias("one"))
+    kinds = cut(kinds.where("one.doc_id is not null").select("key", "seg", "copies", "one.*"))
+    tidy(spark)
+    keys = kinds.groupBy("key").agg(F.count("*").alias("segs"), F.min("copies").alias("least")).where("segs > 1 and least = 1").select("key")
     mixed = kinds.join(keys, "key")
     body = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
+    rows = mixed.join(body.dropDuplicates(["doc_id"]) if _repeats(docs) else body, "doc_id").select(
+        F.col("key").alias("grp"), "key", "seg", F.lit(0).alias("base"), "at", "count", "copies", F.expr(f"substring(raw, cast(begin as int) + 1, count + {length - 1})").alias("body")
+    )
+    rows = cut(rows)
+    marks = kinds.where("copies > 1").select("key", "seg", F.lit(0).alias("first"), (F.col("count") - 1).alias("last"))
+    for b in blocks:
+        more, rows = _told_apart(rows, b, length)
+        marks = marks.union(more)
+        tidy(spark)
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("segs"))
     shards = F.ceil(F.col("segs") / F.lit(block)).cast("int")
-    texts = mixed.join(body.dropDuplicates(["doc_id"]) if _repeats(docs) else body, "doc_id").select(
-        "key", F.pmod(F.xxhash64("seg"), shards).cast("int").alias("salt"), (shards > 1).alias("split"), "seg", "copies", "count",
-        F.expr(f"substring(raw, cast(begin as int) + 1, count + {length - 1})").alias("body"),
-    )
+    texts = rows.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("seg", "base"), shards).cast("int")).withColumn("split", shards > 1)
     found = cut(shard_results(texts, length, shard_bytes))
-    across = found.where("window is not null").groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window")
-    joined = found.where("window is not null and first >= 0").join(across, ["key", "window"]).select("key", "seg", "first", F.col("first").alias("last"))
-    marks = found.where("last is not null").select("key", "seg", "first", "last").union(joined)
-    marks = marks.union(kinds.where("copies > 1").select("key", "seg", F.lit(0).alias("first"), (F.col("count") - 1).alias("last")))
+    across = found.where("window is not null").groupBy("grp", "window").agg(F.count("*").alias("n")).where("n > 1").select("grp", "window")
+    joined = found.where("window is not null and first >= 0").join(across, ["grp", "window"]).select("key", "seg", "first", F.col("first").alias("last"))
+    marks = marks.union(found.where("last is not null").select("key", "seg", "first", "last")).union(joined)
     hit = segments.join(marks, ["key", "seg"]).select("doc_id", (F.col("begin") + F.col("first")).alias("start"), (F.col("begin") + F.col("last") + length).alias("end"))
     return hit.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
