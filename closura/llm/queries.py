@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, quality_model, quality_rules, secret_scan, suffix_dedup
+from . import decontaminate, language_id, license_scan, near_dedup, packing, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts
 from .common import table
 
 
@@ -35,12 +35,30 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), "licenses")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, then of the text after two edits: its second third loses its
+    first 16 characters, and " edited" is put in at two thirds of what is left."""
+    import public_tokenizers
+
+    n = F.coalesce(F.length("text"), F.lit(0))
+    cut_at = F.floor(n / 3)
+    put_at = F.floor((n - F.least(F.lit(16), n - cut_at)) * 2 / 3)
+    edit = lambda a, b, text: F.struct(a.alias("start"), b.alias("end"), F.lit(text).alias("text"))
+    docs = table(spark, sf_dir, "documents").withColumn("edits", F.array(edit(cut_at, cut_at + 16, ""), edit(put_at, put_at, " edited")))
+    return token_counts.count(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("tree_chars", "tree_tokens")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_ids", "share", (F.size("item_ids") == 0).alias("kept"))
