@@ -32,6 +32,7 @@ SCHEMA = [
     (2043, v.SOME_VALUES_FROM, g.SEGMENT), (2043, v.ON_PROPERTY, 1021), (2044, v.ALL_VALUES_FROM, g.SEGMENT), (2044, v.ON_PROPERTY, g.IN_NATION), (2045, v.ALL_VALUES_FROM, g.CUSTOMER), (2045, v.ON_PROPERTY, g.IN_NATION),
     (2046, v.ALL_VALUES_FROM, g.SEGMENT), (2046, v.ON_PROPERTY, g.LOCATED_IN), (2047, v.HAS_VALUE, 2105), (2047, v.ON_PROPERTY, g.HAS_PRIORITY), (2048, v.HAS_VALUE, 2105), (2048, v.ON_PROPERTY, 1022),
     (g.HAS_PRIORITY, v.SUB_PROPERTY_OF, 1022), (g.SEGMENT + 4, v.ALL_VALUES_FROM, 2049), (g.SEGMENT + 4, v.ON_PROPERTY, g.IN_NATION), (g.SEGMENT + 1, v.HAS_VALUE, 2105), (g.SEGMENT + 1, v.ON_PROPERTY, g.HAS_PRIORITY),
+    (g.ORDER, v.SUB_CLASS_OF, 2022), (g.PRECEDED_BY, TYPE, v.TRANSITIVE), (1023, v.EQUIVALENT_PROPERTY, g.IN_NATION), (g.IN_REGION, v.INVERSE_OF, 1024), (g.SUPPLIED_BY, TYPE, v.FUNCTIONAL),
 ]
 
 #: Cells of lists: head 3001 = [PLACED_BY, IN_NATION], 3011 = [SEGMENT + 1, LOCATED], 3021 = three.
@@ -165,14 +166,14 @@ for _name, _rule in rulesets.schema_rules().items():
     rule_query(_name.replace("-", "_"), _rule, ("in_region",))
 for _name, _rule in rulesets.fact_rules().items():
     if not _name.startswith("eq-"):
-        rule_query(_name.replace("-", "_"), _rule)
+        rule_query(_name.replace("-", "_"), _rule, ("preceded_by",) if _name == "prp-trp" else ALL_FACTS)
 for _name, _rule in rulesets.fact_rules(True).items():
     if _rule != rulesets.fact_rules()[_name]:
         rule_query(_name.replace("-", "_") + "_compat", _rule)
-rule_query("prp_fp", rulesets.identity_rules()["prp-fp"], ("placed_by",))
+rule_query("prp_fp", rulesets.identity_rules()["prp-fp"], ("supplied_by",))
 rule_query("prp_ifp", rulesets.identity_rules()["prp-ifp"], ("content_key",))
-for _name in ("eq-rep-s", "eq-rep-o", "eq-rep-p"):
-    rule_query(_name.replace("-", "_"), rulesets.fact_rules()[_name], ("content_key",))
+for _name, _from in (("eq-rep-s", "content_key"), ("eq-rep-o", "content_of"), ("eq-rep-p", "by_document")):
+    rule_query(_name.replace("-", "_"), rulesets.fact_rules()[_name], (_from,))
 rule_query("rdfs7_subproperty", rulesets.RDFS_FACTS["rdfs7"])
 rule_query("rdfs_domain", rulesets.RDFS_FACTS["rdfs2"])
 rule_query("rdfs_range", rulesets.RDFS_FACTS["rdfs3"])

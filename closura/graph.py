@@ -12,7 +12,7 @@ from .operators.primitives import triples
 
 BASE = {"region": 100_000_000, "nation": 200_000_000, "supplier": 300_000_000, "customer": 400_000_000, "part": 500_000_000, "order": 600_000_000, "document": 700_000_000, "content": 900_000_000}
 
-IN_NATION, IN_REGION, LOCATED_IN, PLACED_BY, PLACED, SUPPLIED_BY, HAS_PART, PRECEDED_BY, ADJACENT, CONTENT_KEY, BUYS_FROM, ORDERED_BY, HAS_PRIORITY = range(1001, 1014)
+IN_NATION, IN_REGION, LOCATED_IN, PLACED_BY, PLACED, SUPPLIED_BY, HAS_PART, PRECEDED_BY, ADJACENT, CONTENT_KEY, BUYS_FROM, ORDERED_BY, HAS_PRIORITY, CONTENT_OF = range(1001, 1015)
 AGENT, CUSTOMER, ORDER, PLACE, THING_SOLD, LOCATED, URGENT, BUILDER_URGENT, NATION_BUYER, SEGMENT = range(2001, 2011)
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")  # classes SEGMENT + position
 
@@ -47,6 +47,10 @@ def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         docs = t("documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
         least = docs.groupBy("h").agg(F.min("doc_id").alias("m"))
         return docs.join(least, "h").select(*facts(node("document", "doc_id"), CONTENT_KEY, node("content", "m")))
+    if name == "content_of":
+        return edges(spark, sf_dir, "content_key").select(*facts(F.col("o"), CONTENT_OF, F.col("s")))
+    if name == "by_document":  # a document in the place of a property
+        return edges(spark, sf_dir, "content_key").select(F.col("o").alias("s"), F.col("s").alias("p"), "o")
     if name == "segment":
         k = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
         return t("customer").where(k > 0).select(*facts(node("customer", "c_custkey"), v.TYPE, k - 1 + SEGMENT))
@@ -68,6 +72,8 @@ SQL = {
     "segment": f"SELECT {_B['customer']}+c_custkey AS s, {v.TYPE} AS p, CASE c_mktsegment " + " ".join(f"WHEN '{x}' THEN {SEGMENT + i}" for i, x in enumerate(SEGMENTS)) + " END AS o FROM customer",
     "priority": f"SELECT {_B['order']}+o_orderkey AS s, {HAS_PRIORITY} AS p, 2100+CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS o FROM orders",
 }
+SQL["content_of"] = f"SELECT o AS s, {CONTENT_OF} AS p, s AS o FROM ({SQL['content_key']})"
+SQL["by_document"] = f"SELECT o AS s, s AS p, o FROM ({SQL['content_key']})"
 
 
 def graph(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
