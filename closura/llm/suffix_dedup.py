@@ -25,7 +25,8 @@ A group of over ``block`` segments is salted over several shards; each sends one
 for a class, with which classes are then joined across the shards.
 
 Cases: null text is empty; texts shorter than ``length`` keep all; repeated rows are
-copies of each other; an empty table gives no rows; other columns are not read.
+copies of each other; a row without an id is compared with nothing and keeps all; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -321,9 +322,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     """doc_id, spans: array of (start, end) of repeated bytes, overlapping or not, for
     the documents that have any."""
     spark = docs.sparkSession
+    docs = docs.where(F.col("doc_id").isNotNull())
     segments = cut(segment_table(docs, length, gram))
     kinds = segments.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "begin", "count", "at")).alias("one"))
-    kinds = cut(kinds.where("one.doc_id is not null").select("key", "seg", "copies", "one.*"))
+    kinds = cut(kinds.select("key", "seg", "copies", "one.*"))
     tidy(spark)
     keys = kinds.groupBy("key").agg(F.count("*").alias("segs"), F.min("copies").alias("least")).where("segs > 1 and least = 1").select("key")
     mixed = kinds.join(keys, "key")
