@@ -17,7 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 2 << 20  # bytes of text that one vectorised step holds
+SLICE_BYTES = 1 << 18  # bytes of text that one vectorised step holds: its arrays stay in a cache
+BATCH_ROWS = 1000  # rows that go to a Python worker at once
 BROADCAST_ROWS = 2_000_000  # rows of at most two longs that may be broadcast
 
 WHITE = np.zeros(256, bool)
@@ -34,9 +35,16 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents are large rows: the default of 10,000 in a batch costs JVM and worker
+    some hundred MB a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint
     directory.  Only where none is set (tests on one machine) is one made."""

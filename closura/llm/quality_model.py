@@ -42,6 +42,7 @@ WIDEN = 1.0  # times the distance from their median to the quantile, added to it
 FOLD = 10  # one trusted document in so many is held back
 TABLE_ROWS = 4_000_000
 START = "\x02"
+MET_BYTES = 1 << 21  # bytes of text whose n-grams are put together before they are sent
 
 
 def lang_key(lang: str | None) -> np.uint64:
@@ -82,7 +83,7 @@ def met(docs: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             train = batch.column("train").to_numpy(zero_copy_only=False)
-            for a, b, raw, offs in slices(batch.column("text")):
+            for a, b, raw, offs in slices(batch.column("text"), MET_BYTES):
                 codes, first, n = grams(raw, offs)
                 own, names = pd.factorize(langs[a:b])
                 lang = np.repeat(own.astype(np.int16), n)
