@@ -117,7 +117,7 @@ def block_licenses(block: str) -> tuple[tuple[str, int, int, float, bool, str],
                 continue
             span = pairs[-1][1] - pairs[0][1] + 1
             own = {rest[j][0] for _, j in pairs}
-            if span > 1.5 * len(t.words) + 3 or not t.must <= own:
+            if span > 1.5 * len(t.words) + 3 or not all(any(w == m or w.startswith(f"{m}.") for w in own) for m in t.must):
                 continue
             inside = [rest[j][0] for j in range(pairs[0][1], pairs[-1][1] + 1)]
             used = {i for i, _ in pairs}
