@@ -7,6 +7,7 @@ sequence, so words are found on bytes and equal those found on characters.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -108,6 +109,16 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
         yield a, b, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: workers stay, idle, beside the next stages' JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

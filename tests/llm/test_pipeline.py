@@ -20,7 +20,7 @@ def test_pipeline_like_plain_loops(spark, tmp_path):
     long = [(400 + i, sentence(rng, "de", 150), "de", "a") for i in range(6)]
     near = [(500 + i, t[:-1] + " ende.", lang, s) for i, (_, t, lang, s) in enumerate(long)]
     dirty = [(600, sentence(rng, "en", 20) + " " + bench[0][1] + " " + sentence(rng, "en", 20), "en", "a"), (601, bench[1][1], "fr", "a")]
-    secret = [(700, sentence(rng, "en", 200) + " token = \"ce0cc631f6559e745b37cb8be6fc63ae2d235c5f\" " + sentence(rng, "en", 20), "en", "a")]
+    secret = [(700, sentence(rng, "en", 1500) + " token = \"ce0cc631f6559e745b37cb8be6fc63ae2d235c5f\" " + sentence(rng, "en", 20), "en", "a")]
     odd = [(800, None, None, None), (801, "", "en", "a")]
     every = rows + junk + long + near + dirty + secret + odd
     frame(spark, every).write.parquet(str(tmp_path / "documents.parquet"))
@@ -40,6 +40,7 @@ def test_pipeline_like_plain_loops(spark, tmp_path):
     assert set(kept["minhash near-dedup"]) == want and not any(i in want for i, *_ in near)
     clean = kept["benchmark decontamination"]
     assert not any(i in clean for i, *_ in dirty) and len(clean) >= len(want) - 2
+    assert all(700 in k for k in kept.values()), {n: 700 in k for n, k in kept.items()}
     after = kept["secret scans"]
     assert set(after) == set(clean) and after[700].count("[SECRET]") == 1 and not naive_base(after[700])
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
