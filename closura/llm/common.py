@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.lineage import shared_dir
+
 SLICE_BYTES = 1 << 18  # bytes of text that one vectorised step holds: its arrays stay in a cache
 BATCH_ROWS = 1000  # rows that go to a Python worker at once
 BROADCAST_ROWS = 2_000_000  # rows of at most two longs that may be broadcast
@@ -46,15 +47,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint
-    directory.  Only where none is set (tests on one machine) is one made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="closura-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.  A lost executor costs
     no recomputation beyond this point, and the plan starts anew."""
