@@ -33,7 +33,7 @@ from .common import cut, texts
 SIZE = 4096
 END = 1
 GROUP = 2_000
-WORDS_KEPT = 1_200_000  # words whose ids a worker remembers
+WORDS_KEPT = 300_000  # words whose ids a worker remembers
 
 #: Letters of Latin-1 in lower case (fixed values); the other ranges of SAFE leave out
 #: digits that aren't 0-9 and what other libraries class differently.
