@@ -70,6 +70,7 @@ def tidy(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: they stay until the driver
     happens to collect its garbage, which a long loop shouldn't wait for."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -149,13 +149,15 @@ def scored(docs: DataFrame, table: DataFrame, table_rows: int = TABLE_ROWS) -> D
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     if table.limit(table_rows + 1).count() <= table_rows:
         got = table.toArrow()
-        lang = np.array(got.column("lang").to_pylist(), object)
-        s = np.frombuffer("".join(got.column("g").to_pylist()).encode("utf-32-le"), np.uint32)
-        key = gram_hash(s, np.arange(len(lang)) * ORDER)
-        own, names = pd.factorize(lang)
-        key ^= np.array([lang_key(x) for x in names], np.uint64)[own] if len(names) else key
+        coded = got.column("lang").combine_chunks().dictionary_encode()
+        own, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        key = [gram_hash(np.frombuffer("".join(c.to_pylist()).encode("utf-32-le"), np.uint32), np.arange(len(c)) * ORDER) for c in got.column("g").chunks]
+        key = np.concatenate(key) if key else np.zeros(0, np.uint64)
+        key ^= np.array([lang_key(x) for x in names], np.uint64)[own] if names else key
         order = np.argsort(key)
         shared = docs.sparkSession.sparkContext.broadcast((key[order], got.column("logp").to_numpy()[order].astype(np.float32), set(names)))
+        del got, coded, own, key, order
+        tidy(docs.sparkSession)
 
         def run(batches):
             keys, logs, known = shared.value
