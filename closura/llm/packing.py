@@ -3,12 +3,11 @@
 A document is its token ids and an end id; one longer than a sequence is cut into
 whole sequences and a rest.  The histogram of piece lengths (at most ``size`` numbers,
 whatever the corpus) goes to the driver, where the program "fewest patterns that cover
-every length" is solved by multiplicative weights: each round prices the lengths, a
-knapsack table over the capacity gives the best pattern, and the lengths it covers lose
-weight.  The fractional counts of patterns without room to spare are scaled to what
-there is and rounded down; the lengths left over are packed by best fit, again on
-counts.  The plan (a row for
-each length in each pattern) is bounded by the histogram, not the corpus.
+every length" is solved by multiplicative weights: each round prices all lengths that
+aren't covered, a bounded knapsack table over the capacity gives the best pattern for
+each of them, and the lengths these cover lose weight, until every length is covered.
+Best fit, again on counts, is taken instead where it needs fewer sequences.  The plan (a row for each length in each pattern) is bounded by the histogram, not the
+corpus.
 
 Pieces take places by their rank among those of their length.  Ranks are counted in
 salted groups of about ``GROUP`` rows, so no length gathers in one task.
@@ -34,6 +33,7 @@ SIZE = 4096
 END = 1
 GROUP = 2_000
 WORDS_KEPT = 300_000  # words whose ids a worker remembers
+CLASSES = (2, 0)  # lengths over size / 2 are covered first, then the others
 
 #: Letters of Latin-1 in lower case (fixed values); the other ranges of SAFE leave out
 #: digits that aren't 0-9 and what other libraries class differently.
@@ -115,68 +115,112 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_id
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def best_pattern(value: np.ndarray, have: np.ndarray) -> dict[int, int]:
-    """Length -> times, of the most valuable pattern: value[l] is that of length l.
-    The table allows a length any number of times; more than there are is cut off."""
-    size = len(value) - 1
-    use = np.flatnonzero(value > 0)
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    worth = value[use]
-    for c in range(1, size + 1):
-        k = int(np.searchsorted(use, c, "right"))
-        best[c], last[c] = best[c - 1], 0
-        if k:
-            total = best[c - use[:k]] + worth[:k]
-            i = int(np.argmax(total))
-            if total[i] > best[c]:
-                best[c], last[c] = total[i], use[i]
-    out: dict[int, int] = {}
-    c = size
-    while c > 0:
-        l = int(last[c])
-        if not l:
-            c -= 1
-        else:
-            if out.get(l, 0) < have[l]:
-                out[l] = out.get(l, 0) + 1
-            c -= l
-    return out
-
-
-def solve(have: np.ndarray, rounds: int = 150, rate: float = 0.35) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how often each is used; have[l] pieces of length l, all packed."""
+class Prices:
+    """Knapsack tables: the most valuable patterns when value[l] is the price of length l.
+
+    A length is used up to have[l] times: its copies are bundled by 1, 2, 4 and so on.
+    Bundles are taken in order of length and a later one wins ties, so equal prices
+    favour long lengths."""
+
+    def __init__(self, value: np.ndarray, have: np.ndarray):
+        size = len(value) - 1
+        self.bundles: list[tuple[int, int]] = []
+        for l in np.flatnonzero((value > 0) & (have > 0)).tolist():
+            times, k = min(int(have[l]), size // l), 1
+            while times > 0:
+                self.bundles.append((l, min(k, times)))
+                times -= k
+                k *= 2
+        self.takes = np.zeros((len(self.bundles), size + 1), bool)
+        best = np.zeros(size + 1)
+        for i, (l, k) in enumerate(self.bundles):
+            total = best[: size + 1 - l * k] + k * value[l]
+            # by 1e-9 less is a tie
+            np.greater_equal(total, best[l * k :] - 1e-9, out=self.takes[i, l * k :])
+            np.maximum(best[l * k :], total, out=best[l * k :])
+
+    def pattern(self, i: int, room: int) -> dict[int, int]:
+        """Length -> times, of the best pattern of ``room`` from the first i bundles."""
+        out: dict[int, int] = {}
+        while i > 0 and room > 0:
+            column = self.takes[i - 1 :: -1, room] if i < len(self.takes) else self.takes[::-1, room]
+            back = int(column.argmax())
+            if not column[back]:
+                break
+            i -= back + 1
+            l, k = self.bundles[i]
+            out[l] = out.get(l, 0) + k
+            room -= l * k
+        return out
+
+    def patterns(self, floor: int = 0):
+        """For each length over ``floor``, longest first, the best pattern in which it is
+        the longest: with one of it, and with as many as pay."""
+        size = self.takes.shape[1] - 1
+        for i in range(len(self.bundles) - 1, -1, -1):
+            l, k = self.bundles[i]
+            if l <= floor:
+                return
+            if k == 1 and (not i or self.bundles[i - 1][0] != l):
+                more = i + 1  # bundles of l itself come first, then shorter ones
+                while more < len(self.bundles) and self.bundles[more][0] == l:
+                    more += 1
+                p = {l: 1}
+                for x, a in self.pattern(i, size - l).items():
+                    p[x] = p.get(x, 0) + a
+                yield p
+                if more > i + 1:
+                    yield self.pattern(more, size)
+
+
+def solve(have: np.ndarray, rounds: int | None = None, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
+    """Patterns and how often each is used; have[l] pieces of length l, all packed: the
+    program's, or best fit's where those are fewer sequences (where most pieces are over a
+    half of ``size``, so full patterns aren't what counts)."""
+    return min(program(have, rounds, rate), best_fit(have), key=lambda plan: sum(times for _, times in plan))
+
+
+def program(have: np.ndarray, rounds: int | None = None, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
+    """The configuration program's plan for all pieces.
+
+    A length's weight is exp(-rate * its covered share).  Each table prices every length
+    that isn't covered yet; its patterns are used as often as there are pieces for them,
+    so one length at least is covered by each and nothing is scaled or rounded at the end.
+    Lengths over a half of ``size`` are covered first, for each needs a pattern of its
+    own, then the others.  Full patterns come first, under the weights
+    for ``rounds`` tables (as many as there are lengths if not given), then by tokens
+    alone; when there are none, those with the least room to spare."""
     size = len(have) - 1
     left = have.astype(np.int64).copy()
+    left[0] = 0
     plan: list[tuple[dict[int, int], int]] = []
     if left[size]:
         plan.append(({size: 1}, int(left[size])))
         left[size] = 0
-    present = np.flatnonzero(left)
-    if len(present) > 1 and left.sum() > 1000:
-        covered = np.zeros(size + 1)
-        amount: dict[tuple, float] = {}
-        for _ in range(rounds):
-            value = np.zeros(size + 1)
-            # the price of a length falls with the share of its pieces already covered
-            value[present] = present * np.exp(-rate * (covered[present] - covered[present].min()) * rounds / 10)
-            p = best_pattern(value, left)
-            if not p:
-                break
-            step = max(1.0, min(left[l] / a for l, a in p.items()) * 0.5)
-            for l, a in p.items():
-                covered[l] += a * step / left[l]
-            key = tuple(sorted(p.items()))
-            amount[key] = amount.get(key, 0) + step
-        # scaled so that no length is used more than it is there, then rounded down
-        for key, x in sorted(amount.items(), key=lambda kv: -kv[1]):
-            if sum(l * a for l, a in key) < size:
-                continue  # cut off by what there is: such room is better filled at the end
-            times = int(min(x / max(1.0, max(covered[l] for l, _ in key)), min(left[l] // a for l, a in key)))
-            if times > 0:
-                plan.append((dict(key), times))
-                for l, a in key:
-                    left[l] -= a * times
-    return plan + best_fit(left)
+    lengths = np.arange(size + 1)
+    total = np.maximum(1, left)
+    rounds = int((left > 0).sum()) if rounds is None else rounds
+    tables = 0
+    for part in CLASSES:
+        floor = size // part if part else 0
+        full, weighted = True, True
+        while left[floor + 1 :].any():
+            weighted = weighted and tables < rounds
+            weights = np.exp(-rate * (1 - left / total)) if weighted else np.ones(size + 1)
+            placed = False
+            for p in Prices(lengths * weights * (left > 0), left).patterns(floor):
+                times = min(int(left[l]) // a for l, a in p.items())
+                if times and (not full or sum(l * a for l, a in p.items()) == size):
+                    plan.append((p, times))
+                    for l, a in p.items():
+                        left[l] -= a * times
+                    placed = True
+                elif not full:
+                    break  # its pieces went to longer lengths: it is priced anew
+            tables += 1
+            if not placed:
+                full, weighted = full and weighted, False
+    return plan
 
 
 def best_fit(left: np.ndarray) -> list[tuple[dict[int, int], int]]:
