@@ -1,9 +1,10 @@
 """License scans by conditional compression (operator 6).
 
-Blocks of lines near words that license notices use are candidates.  Each is compressed
-with zstandard, alone and with every template as a raw dictionary; templates are ranked
-by how much smaller it gets.  The best ``TOP`` are then confirmed word by word: the words
-of the block are aligned with the template's (longest common subsequence), at least
+Lines with words that license notices use are candidates, with text around them that
+holds the longest template on either side.  Each such block is compressed with zstandard,
+alone and with every template as a raw dictionary; templates are ranked by how much
+smaller it gets.  The best ``2 * TOP``, and all others if none of them is there, are then
+confirmed word by word: the words of a stretch of the block are aligned with the template's (longest common subsequence), at least
 ``COVER`` of the template must be there in order, and all of its ``must`` words; what
 differs is reported.  A template whose words are all there is exact.
 
@@ -17,8 +18,10 @@ go to the longer match, then the name; repeated rows and extra columns don't mat
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -28,9 +31,12 @@ TOP = 4
 COVER = 0.85
 LONGEST = 4000  # characters of a block; longer ones are cut at lines, or at blanks
 
-#: Substrings of lower-cased lines that make a candidate (fixed values).
+#: Substrings of lower-cased text that make its line a candidate (fixed values).
 CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "creative commons", "cc by", "cc0")
 
+#: The same, where a line may end between words.
+CUE = re.compile("|".join(re.escape(c).replace(r"\ ", r"[\W_]{1,40}") for c in CUES))
+
 #: Notices (fixed values): name -> (words that must be there, texts).
 TEMPLATES: dict[str, tuple[str, list[str]]] = {
     "MIT": ("mit", [
@@ -64,6 +70,9 @@ class Template:
         self.name, self.text = name, text
         self.words = WORD.findall(text.lower())
         self.must = set(must.split())
+        self.masks: dict[str, int] = {}
+        for i, w in enumerate(self.words):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict((text + "\n").encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
 
 
@@ -96,30 +105,71 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def lowered(text: str) -> str:
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer: by characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def placed(t: Template, words: list[str]) -> list[tuple[int, int]]:
+    """The alignment of the template with the stretch of ``words`` that holds most of it,
+    of those the last and shortest; nothing if that's under ``COVER``.
+
+    A stretch is at most half as long again as the template and 3 words.  One with too few
+    of its words in any order is passed over, which loses nothing."""
+    n = len(t.words)
+    least, width = max(3, math.ceil(COVER * n - 1e-9)), int(1.5 * n + 3)
+    sums = [0, *accumulate(w in t.masks for w in words)]
+    best, at = least - 1, -1
+    for j, w in enumerate(words):
+        if w in t.masks and sums[min(j + width, len(words))] - sums[j] > best - (best >= least):
+            got = common(t, words[j : j + width])
+            if got >= max(best, least):
+                best, at = got, j
+    if at < 0:
+        return []
+    end = min(at + width, len(words))
+    while common(t, words[at : end - 1]) == best:
+        end -= 1
+    return [(i, at + j) for i, j in aligned(t.words, words[at:end])]
+
+
+def common(t: Template, words: list[str]) -> int:
+    """Length of the longest common subsequence, a word of bits at a time (Hyyro 2004)."""
+    full = (1 << len(t.words)) - 1
+    v = full
+    for w in words:
+        m = t.masks.get(w)
+        if m is not None:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(t.words) - v.bit_count()
+
+
 @lru_cache(50_000)
 def block_licenses(block: str) -> tuple[tuple[str, int, int, float, bool, str], ...]:
     """(name, start, end, size reduction, exact, differences) of the notices in a block."""
     found = []
-    rest = [(m.group(), m.start(), m.end()) for m in WORD.finditer(block.lower())]
-    if len(block.lower()) != len(block):  # a letter whose lower case is longer: by characters
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in block)
-        rest = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
+    rest = [(m.group(), m.start(), m.end()) for m in WORD.finditer(lowered(block))]
     text = block
     while rest:
         data = text.encode()
         alone = len(plain().compress(data))
-        gains = sorted(((alone - len(t.compressor.compress(data))) / alone, i) for i, t in enumerate(templates()))[::-1][: 2 * TOP]
+        gains = sorted(((alone - len(t.compressor.compress(data))) / alone, i) for i, t in enumerate(templates()))[::-1]
         winner = None
-        for gain, i in gains:
+        for k, (gain, i) in enumerate(gains):
+            if k == 2 * TOP and winner is not None:
+                break  # the other templates are tried only if none of these is there
             t = templates()[i]
-            pairs = aligned(t.words, [w for w, _, _ in rest])
-            if len(pairs) < COVER * len(t.words) or len(pairs) < 3:
+            words = [w for w, _, _ in rest]
+            pairs = placed(t, words)
+            if not pairs:
                 continue
-            span = pairs[-1][1] - pairs[0][1] + 1
-            own = {rest[j][0] for _, j in pairs}
-            if span > 1.5 * len(t.words) + 3 or not all(any(w == m or w.startswith(f"{m}.") for w in own) for m in t.must):
+            own = {words[j] for _, j in pairs}
+            if not all(any(w == m or w.startswith(f"{m}.") for w in own) for m in t.must):
                 continue
-            inside = [rest[j][0] for j in range(pairs[0][1], pairs[-1][1] + 1)]
+            inside = words[pairs[0][1] : pairs[-1][1] + 1]
             used = {i for i, _ in pairs}
             missing = [w for k, w in enumerate(t.words) if k not in used]
             taken = {j for _, j in pairs}
@@ -135,41 +185,41 @@ def block_licenses(block: str) -> tuple[tuple[str, int, int, float, bool, str],
         found.append((name, a, b, round(gain, 4), not missing and not extra, differences))
         rest = rest[: pairs[0][1]] + rest[pairs[-1][1] + 1 :]
         text = block[:a] + block[b:] if len(found) == 1 else " ".join(w for w, _, _ in rest)
-        if not any(c in text.lower() for c in CUES):
+        if not CUE.search(text.lower()):
             break
     return tuple(sorted(found, key=lambda f: f[1:3]))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate lines, neighbours joined."""
-    low = text.lower()
-    if not any(c in low for c in CUES):
-        return []
+    """Spans around candidate lines, joined where they touch.  A joined span that would be
+    over ``LONGEST`` goes on in another that overlaps it by the lines' surroundings."""
+    around = 2 * max(len(t.text) for t in templates())
     out: list[list[int]] = []
-    at = 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        l = line.lower()
-        hits = [m for c in CUES for m in _finds(l, c)] if any(c in l for c in CUES) else []
-        if hits:
-            # of a very long line, the part around the words
-            a, b = (at, end) if len(line) <= LONGEST else (at + max(0, min(hits) - LONGEST // 4), min(end, at + max(hits) + LONGEST // 4))
-            parts = [(a, b)] if b - a <= LONGEST else [(at + max(0, h - LONGEST // 4), min(end, at + h + LONGEST // 4)) for h in sorted(hits)]
-            for a, b in parts:
-                if out and a - out[-1][1] <= 1 and b - out[-1][0] <= LONGEST:
-                    out[-1][1] = max(b, out[-1][1])
-                else:
-                    out.append([max(a, out[-1][1]) if out else a, b])
-        at = end + 1
-    return [(a, b) for a, b in out if b > a]
-
-
-def _finds(text: str, what: str) -> list[int]:
-    out, at = [], text.find(what)
-    while at >= 0:
-        out.append(at)
-        at = text.find(what, at + 1)
-    return out
+    for m in CUE.finditer(lowered(text)):
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        b = len(text) if b < 0 else b
+        if b - a > LONGEST:  # of a very long line, the part around the words
+            a, b = max(a, m.start() - LONGEST // 4), min(b, m.end() + LONGEST // 4)
+        # notices are wrapped: their other lines may have none of the words
+        a, b = max(0, a - around), min(len(text), b + around)
+        if out and a <= out[-1][1] + 1 and b - out[-1][0] <= LONGEST:
+            out[-1][1] = max(b, out[-1][1])
+        elif not out or b > out[-1][1]:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def licenses(text: str) -> list[tuple[str, int, int, float, bool, str]]:
+    """The notices of a text; of those found in two overlapping blocks the longer one."""
+    out: list = []
+    for a, b in blocks(text):
+        for n, x, y, *rest in block_licenses(text[a:b]):
+            out.append((n, a + x, a + y, *rest))
+    kept: list = []
+    for f in sorted(out, key=lambda f: (f[1] - f[2], f[1], f[0])):
+        if all(f[2] <= g[1] or f[1] >= g[2] for g in kept):
+            kept.append(f)
+    return sorted(kept, key=lambda f: f[1:3])
 
 
 KIND = "array<struct<name: string, start: long, end: long, gain: double, exact: boolean, differences: string>>"
@@ -183,10 +233,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for t in batch.column("text").to_pylist():
-                got = []
-                for a, b in blocks(t) if t else ():
-                    got += [{"name": n, "start": a + x, "end": a + y, "gain": g, "exact": e, "differences": d} for n, x, y, g, e, d in block_licenses(t[a:b])]
-                rows.append(got)
+                rows.append([{"name": n, "start": a, "end": b, "gain": g, "exact": e, "differences": d} for n, a, b, g, e, d in (licenses(t) if t else ())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(item))], names=["doc_id", "licenses"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, licenses {KIND}")
