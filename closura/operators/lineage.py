@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors see; a local one is made
-    only where none is set, as in tests."""
+    """The session's checkpoint folder, which all executors see.  Where none is set, a
+    local master gets a temporary one, as in tests; on a cluster that is an error, for each
+    machine would write to its own disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="closura-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="closura-"))
     return sc.getCheckpointDir()
 
 

@@ -16,6 +16,7 @@ from .rules import Rule, apply, apply_all
 
 PROFILES = ("rdfs", "rdfspp", "owl2rl", "dummy")
 SCHEMA_ROWS = 50_000  # axioms up to which the schema is worked out on the driver
+BROADCAST_ROWS = 1_000_000  # closed axioms up to which parts of the schema are broadcast
 
 
 @dataclass
@@ -44,12 +45,22 @@ def _small(tbox: DataFrame, limit: int = SCHEMA_ROWS) -> list[tuple] | None:
 # -- first stage: the schema --------------------------------------------------
 
 
+def _locally(spark, rows: list[tuple] | None, rules) -> DataFrame | None:
+    """The closure of a small schema, if that is small too."""
+    if rows is None:
+        return None
+    try:
+        return triples(spark, sorted(local.closed(rows, rules)))
+    except local.TooLarge:
+        return None
+
+
 def close_rdfs(tbox: DataFrame, limit: int = SCHEMA_ROWS) -> DataFrame:
     """subClassOf and subPropertyOf, transitively."""
-    rows = _small(tbox, limit)
-    if rows is not None:
-        kept = {k: r for k, r in rulesets.schema_rules().items() if k in ("scm-sco", "scm-spo")}
-        return triples(tbox.sparkSession, sorted(local.closed(rows, kept.values())))
+    rules = [r for k, r in rulesets.schema_rules().items() if k in ("scm-sco", "scm-spo")]
+    closed = _locally(tbox.sparkSession, _small(tbox, limit), rules)
+    if closed is not None:
+        return closed
     parts = [tbox]
     for p in (v.SUB_CLASS_OF, v.SUB_PROPERTY_OF):
         parts.append(closure(pairs(tbox, p, "a", "b")).select(F.col("a").alias("s"), F.lit(p).cast("long").alias("p"), F.col("b").alias("o")))
@@ -70,9 +81,9 @@ def close_owl(tbox: DataFrame, compat: bool = False, limit: int = SCHEMA_ROWS) -
     lists = cut(ls.expanded(tbox))
     start = union(tbox, list_axioms(tbox, lists)).distinct()
     rules = rulesets.schema_rules(compat)
-    rows = _small(start, limit)
-    if rows is not None:
-        return triples(tbox.sparkSession, sorted(local.closed(rows, rules.values()))), lists
+    closed = _locally(tbox.sparkSession, _small(start, limit), rules.values())
+    if closed is not None:
+        return closed, lists
     return fixpoint(start, lambda new, whole, _: apply_all(rules.values(), {"T": (new, whole)})), lists
 
 
@@ -88,9 +99,10 @@ def close_schema(tbox: DataFrame, profile: str, compat: bool = False, limit: int
 # -- compiled lookup tables -----------------------------------------------------
 
 
-def property_rewrites(rows: list[tuple], symmetric: bool = True, equivalent: bool = True) -> set[tuple[int, int, bool]]:
+def property_rewrites(rows: list[tuple], symmetric: bool = True, equivalent: bool = True, most: int = local.MOST) -> set[tuple[int, int, bool]]:
     """(p, q, swap): x p y makes x q y, or y q x.  Paths over subproperty, equivalent,
-    inverse and symmetric axioms, so one join takes a fact all the way."""
+    inverse and symmetric axioms, so one join takes a fact all the way.  There may be many
+    more paths than axioms: beyond ``most`` of them ``TooLarge`` is raised."""
     step: dict[int, set] = {}
     add = lambda a, b, swap: step.setdefault(a, set()).add((b, swap))
     for s, p, o in rows:
@@ -113,6 +125,8 @@ def property_rewrites(rows: list[tuple], symmetric: bool = True, equivalent: boo
                 if (x := (b, swap ^ t)) not in seen:
                     seen.add(x)
                     todo.append(x)
+            if len(out) + len(seen) > most:
+                raise local.TooLarge
         out |= {(start, b, swap) for b, swap in seen if (b, swap) != (start, False)}
     return out
 
@@ -148,8 +162,11 @@ def rdfs(tbox: DataFrame, abox: DataFrame, recursive: bool = False, limit: int =
     spark = abox.sparkSession
     prop, types = abox.where(F.col("p") != v.TYPE), abox.where(F.col("p") == v.TYPE)
     rows = _small(tbox.where(F.col("p").isin(v.SUB_PROPERTY_OF, v.INVERSE_OF, v.TYPE)), limit)
-    if rows is not None:
-        inverse = property_rewrites([r for r in rows if recursive or r[1] != v.INVERSE_OF], symmetric=False, equivalent=False)
+    try:
+        inverse = None if rows is None else property_rewrites([r for r in rows if recursive or r[1] != v.INVERSE_OF], symmetric=False, equivalent=False)
+    except local.TooLarge:
+        rows = inverse = None
+    if inverse is not None:
         table = _table(spark, inverse, "p_in long, p_out long, swap boolean")
     else:
         sub = pairs(tbox, v.SUB_PROPERTY_OF, "p_in", "p_out").withColumn("swap", F.lit(False))
@@ -175,7 +192,7 @@ def rdfs(tbox: DataFrame, abox: DataFrame, recursive: bool = False, limit: int =
         props = union(prop, rewritten(prop, table))
     sides = pairs(tbox, v.DOMAIN, "p_in", "c").withColumn("at_object", F.lit(False)).union(pairs(tbox, v.RANGE, "p_in", "c").withColumn("at_object", F.lit(True)))
     supers = pairs(tbox, v.SUB_CLASS_OF, "c_in", "c_out")
-    if rows is not None:
+    if tbox.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         sides, supers = F.broadcast(sides), F.broadcast(supers)
     typed = union(types, _typed(props, sides)).distinct()
     return union(abox, props, typed, _classed(typed, supers)).distinct()
@@ -208,15 +225,21 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
     if rows is None or len(items) > limit:
         rows = None
     facts = dict(rulesets.fact_rules(compat))
-    constant = triples(spark, [(v.THING, v.TYPE, v.CLASS), (v.NOTHING, v.TYPE, v.CLASS)])
     if rows is not None:
         heads = lambda p: [(s, items[o]) for s, q, o in rows if q == p and o in items]
-        facts |= rulesets.list_rules(heads(v.PROPERTY_CHAIN_AXIOM), heads(v.INTERSECTION_OF), compat)
-        constant = union(constant, triples(spark, [(x, v.TYPE, c) for c, xs in heads(v.ONE_OF) for x in xs]))
+        listed = rulesets.list_rules(heads(v.PROPERTY_CHAIN_AXIOM), heads(v.INTERSECTION_OF), compat)
         # rules with one fact in their bodies become lookups in three tables
         single = ("cax-sco", "cax-eqc1", "cax-eqc2", "prp-dom", "prp-rng", "prp-spo1", "prp-eqp1", "prp-eqp2", "prp-inv1", "prp-inv2", "cls-svf2", *(() if compat else ("prp-symp",)))
-        rest = _compiled([r for k, r in facts.items() if k not in single and not k.startswith("eq-")], rows, spark)
-        props = _table(spark, property_rewrites(rows, symmetric=not compat), "p_in long, p_out long, swap boolean")
+        try:
+            rest = _compiled([r for k, r in (facts | listed).items() if k not in single and not k.startswith("eq-")], rows, spark)
+            rewrites = property_rewrites(rows, symmetric=not compat)
+            identity = _compiled(list(rulesets.identity_rules(compat).values()), rows, spark)
+        except local.TooLarge:
+            rows = None
+    constant = triples(spark, [(v.THING, v.TYPE, v.CLASS), (v.NOTHING, v.TYPE, v.CLASS)])
+    if rows is not None:
+        constant = union(constant, triples(spark, [(x, v.TYPE, c) for c, xs in heads(v.ONE_OF) for x in xs]))
+        props = _table(spark, rewrites, "p_in long, p_out long, swap boolean")
         classes = {(s, o) for s, p, o in rows if p in (v.SUB_CLASS_OF, v.EQUIVALENT_CLASS) and s != o} | {(o, s) for s, p, o in rows if p == v.EQUIVALENT_CLASS and s != o}
         sides = {(s, p == v.RANGE, o) for s, p, o in rows if p in (v.DOMAIN, v.RANGE)}
         on = {(s, o) for s, p, o in rows if p == v.ON_PROPERTY}
@@ -231,7 +254,6 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
                 out = out.unionByName(more)
             return out
 
-        identity = _compiled(list(rulesets.identity_rules(compat).values()), rows, spark)
         identical = lambda a: [apply(r, {"A": (None, a), "T": (None, t)}, "T") for r, t in identity]
         edges = spark.createDataFrame([(s, o) for s, p, o in rows if p == v.SAME_AS], "a long, b long")
     else:

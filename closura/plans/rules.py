@@ -95,8 +95,10 @@ def apply(r: Rule, sources: dict[str, tuple[DataFrame, DataFrame]], broadcast: I
             new, whole = sources[x]
             a = _atom(new if i == place else whole, terms)
             atoms.append(F.broadcast(a) if x in broadcast else a)
-        # the changing rows lead, so that schema sides are built and they are streamed
-        order = sorted(range(len(atoms)), key=lambda i: (i != place, r.body[i][0] != "A"))
+        # the changing rows lead, then the schema: it is small, and facts that meet other
+        # facts before it would be paired on all properties and classes
+        lead = place if place is not None else next((i for i, (x, _) in enumerate(r.body) if x == "A"), 0)
+        order = sorted(range(len(atoms)), key=lambda i: (i != lead, r.body[i][0] == "A"))
         df = _heads(_joined([atoms[i] for i in order], r), r)
         out = df if out is None else out.unionByName(df)
     return out
