@@ -83,6 +83,41 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, limit: int = BROADCAST_ROWS
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), on, "left_semi")
 
 
+def with_rows(docs: DataFrame, *columns) -> tuple[DataFrame, bool]:
+    """``row`` (long), ``doc_id`` and ``columns``, and whether rows had to be numbered.
+
+    Where every row has an id of its own, that is its ``row``, and nothing is written.  Else
+    (repeated or missing ids) the rows are numbered and written, so that each keeps its
+    number and its text, whatever other rows have its id."""
+    clashes = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() > 0
+    if not clashes:
+        return docs.select(F.col("doc_id").cast("long").alias("row"), "doc_id", *columns), False
+    return cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns)), True
+
+
+def lean(run):
+    """``run`` of ``mapInArrow``, after which the worker gives back what it held: workers
+    stay, idle, beside the next stages."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for drop in LEAVING:
+                drop()
+            gc.collect()
+            trim()
+
+    return inner
+
+
+def forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+LEAVING = [forget_powers]  # called in a worker at the end of a partition
+
+
 def texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(pc.cast(column, pa.large_string()), "")
 
