@@ -36,7 +36,7 @@ def test_pipeline_like_plain_loops(spark, tmp_path):
     first = kept["quality classifier"]
     assert not any(i in first for i, *_ in junk) and sum(i in first for i, *_ in rows) >= 0.97 * len(rows)
     assert all(i in first for i, *_ in odd)
-    want = {i for i, _, _, mine in brute([r for r in every if r[0] in first]) if mine}
+    want = {i for i, _, _, mine in brute([r for r in every if r[0] in first], corpus_pipeline.NEAR) if mine}
     assert set(kept["minhash near-dedup"]) == want and not any(i in want for i, *_ in near)
     clean = kept["benchmark decontamination"]
     assert not any(i in clean for i, *_ in dirty) and len(clean) >= len(want) - 2
