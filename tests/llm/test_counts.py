@@ -1,6 +1,7 @@
 """Operators that count: quality rules, packing, token counts."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -56,6 +57,34 @@ def test_mcd_like_brute_force(spark):
     assert 0.4 < np.diag(c).min() and np.diag(c).max() < 2.0
 
 
+def test_mcd_is_the_least_determinant(spark, monkeypatch):
+    """Against all subsets of small groups; distances and verdicts from plain numpy."""
+    monkeypatch.setattr(qr, "FLOOR", np.full(5, 1e-3))
+    rng = np.random.default_rng(1)
+    groups = {}
+    for g in "ab":
+        groups[g] = rng.normal(size=(13, 5)) * [3, 1, 4, 2, 3]
+        groups[g][:3] += rng.normal(size=(3, 5)) * 25
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    est, _ = qr.mcd(df, ["g"], min_group=1)
+    alone, _ = qr.mcd(df.where("g = 'a'"), [], min_group=1)
+    assert np.allclose(alone[()][0], est[("a",)][0])
+    for g, x in groups.items():
+        of = lambda rows: (rows.mean(0), np.cov(rows.T, bias=True))
+        d2 = lambda m, c: ((x - m) @ np.linalg.inv(qr.floored(c)) * (x - m)).sum(1)  # noqa: B023, E731
+        _, best = min((np.linalg.slogdet(qr.floored(of(x[list(k)])[1]))[1], k) for k in itertools.combinations(range(13), 10))
+        m, c = of(x[list(best)])
+        m, c = of(x[d2(m, c * qr.consistent(qr.SHARE, 5)) <= qr.chi2_quantile(qr.REWEIGHT, 5)])
+        assert np.allclose(est[(g,)][0], m) and np.allclose(est[(g,)][1], c * qr.consistent(qr.REWEIGHT, 5))
+        got = qr.distances(df.where(df.g == g), {(g,): {"": est[(g,)]}}, ["g"]).orderBy("x0").toPandas()["d2"]
+        assert np.allclose(got, d2(*est[(g,)])[np.argsort(x[:, 0])])
+
+
+def test_chi2_quantiles():
+    for q, p, want in ((0.95, 1, 3.841459), (0.975, 5, 12.832502), (0.5, 5, 4.351460), (0.99, 7, 18.475307)):  # fixed values
+        assert abs(qr.chi2_quantile(q, p) - want) < 1e-5
+
+
 @pytest.fixture(scope="module")
 def word_tool():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
