@@ -9,16 +9,20 @@ Patterns, leftmost and non-overlapping for each kind:
 
 The field tags tokens (runs of what is neither blank nor quote) as begin, inside or
 outside a secret, from the token's shape, entropy and prefixes, the words before and
-after it, and features of the file (lines that look like settings or code).  Tokens
-that can't be part of a secret - under ``LEAST`` characters, or without a digit or
-a change of letter case inside, or not ASCII - are held to be outside, so only the runs of the others are decoded,
-by Viterbi, exactly as if the whole text were.  The field is trained here, by gradient
+after it, and features of the file (lines that look like settings or code).  Three kinds of
+tokens may be part of a secret: of ``LEAST`` ASCII characters with a digit or a change of letter case
+inside; of any form, if ``CUED`` stands right before it (a word for a secret, and ``:``, ``=``, "is" or
+"was"); and the lines of a private key's block, which are one chain.  All others are held to be outside,
+so only the runs of these are decoded, by Viterbi, exactly as if the whole text were.  An
+inside tag never follows an outside one.  The field is trained here, by gradient
 steps on the conditional likelihood: on generated lines that hold public formats of
-credentials, and the look-alikes that aren't (numbers of cards, addresses, hashes in
-paths, versions, long words).
+credentials, weak passwords after such words, key blocks, and the look-alikes that aren't
+(numbers of cards, addresses, hashes in paths, versions, long words).
 
-Cases: null or empty text has no spans; spans are in code points, end exclusive;
-repeated rows are scanned alike; extra columns are not read.
+Cases: null or empty text has no spans; spans are in code points, end exclusive; of two
+spans at one place the patterns' goes first; a span of the field that overlaps a pattern's goes;
+repeated rows are scanned alike; extra columns are not read.  A task holds one text of any
+length, in about 20 times its size.
 """
 
 from __future__ import annotations
@@ -28,16 +32,20 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # whole runs of [0-9a-f], those of 16 or more
 KINDS = ("assign", "access", "hex")
 LEAST = 12  # characters of a token that the field may tag
+SHORT = 6  # the same, after a word for a secret
 TOKEN = re.compile(r"[^\s\"'`<>(){}\[\],;|]+")
 TAGS = ("B", "I", "O")
 BITS = 13  # of the field's hashed features
@@ -67,6 +75,19 @@ def eligible(token: str) -> bool:
     return body.isascii() and SOME.search(body) is not None
 
 
+#: What stands before a value of any form (fixed values).
+CUED = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|private|access)[_ -]?key)s?[\"']?(?:[ \t]{0,3}[:=]+[ \t]{0,3}|[ \t]{1,3}(?:is|was)[ \t]{1,3})[\"'`]?", re.IGNORECASE | re.ASCII)
+HINTS = ("pass", "pwd", "secret", "token", "credential", "key")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s((?:\s*[A-Za-z0-9+/=]{4,}\s*\n)+)\s*-----END")
+LINE = re.compile(r"[A-Za-z0-9+/=]{4,}")
+
+
+def cued(tokens: list[str], i: int) -> bool:
+    """As ``CUED``, on tokens."""
+    before = " ".join(tokens[max(0, i - 2) : i]) + " "
+    return len(tokens[i]) >= SHORT and any(m.end() == len(before) for m in CUED.finditer(before))
+
+
 def shape(token: str) -> str:
     out: list[str] = []
     for c in token:
@@ -124,11 +145,12 @@ class Field:
 
     def viterbi(self, emit: np.ndarray) -> list[int]:
         """Best tags of a run with outside tokens on both sides."""
-        best = self.steps[2] + emit[0]
-        best[1] = -np.inf  # a secret begins with B
+        steps = self.steps.copy()
+        steps[2, 1] = -np.inf  # a secret begins with B
+        best = steps[2] + emit[0]
         back = []
         for e in emit[1:]:
-            total = best[:, None] + self.steps
+            total = best[:, None] + steps
             back.append(total.argmax(axis=0))
             best = total.max(axis=0) + e
         tag = int((best + self.steps[:, 2]).argmax())
@@ -156,10 +178,24 @@ def _generated(rng: random.Random) -> tuple[list[str], list[int], str]:
         lambda: word() + word().capitalize() + word().capitalize(), lambda: word() + pick("$%&*#", 3, 3) + str(rng.randint(1, 99)), lambda: f"+{rng.randint(1, 99)}-{pick(string.digits, 3, 4)}-{pick(string.digits, 7, 8)}",
         lambda: f"{word()}-{word()}-{rng.randint(1, 40)}.{rng.randint(0, 9)}", lambda: (word() + word()).capitalize() + str(rng.randint(1990, 2030)), lambda: f"{pick('0123456789abcdef', 8, 8)}-{word()}", lambda: "-".join(pick(string.digits, 4, 4) for _ in range(4)),
     ]
+    weak = [
+        lambda: word() + pick(string.digits, 1, 4), lambda: "-".join(word() for _ in range(rng.randint(3, 5))), lambda: pick(string.ascii_lowercase, 15, 28), lambda: word().capitalize() + pick("!@#%&", 1, 2) + pick(string.digits, 1, 4),
+        lambda: pick(alnum + "!@#%", 8, 11), lambda: (word() + pick(string.digits, 1, 2)) * 2,
+    ]
+    none = [lambda: pick(string.ascii_lowercase, 6, 12), lambda: pick(string.ascii_lowercase, 6, 10).capitalize(), lambda: f"{word()}.{word()}", lambda: f"{word()}_{word()}", lambda: f"${word().upper()}_{word().upper()}"]
+    if rng.random() < 0.05:  # a private key
+        width, n = rng.choice([64, 64, 76]), rng.randint(2, 12)
+        lines = [pick(alnum + "+/", width, width) for _ in range(n)] + [pick(alnum + "+/", 4, width - 2) + "="]
+        return ["-----BEGIN", "PRIVATE", "KEY-----", *lines, "-----END"], [2, 2, 2, 0, *[1] * n, 2], "prose"
     tokens, tags = [], []
     for _ in range(rng.randint(3, 9)):
         roll = rng.random()
-        if roll < 0.2:
+        if roll < 0.08:
+            tokens += [rng.choice(["password", "Password", "pwd", "passphrase", "secret", "token", "db_pass", "api_key"]), rng.choice(["=", ":", "is", "was"])]
+            found = rng.random() < 0.5
+            tokens.append(rng.choice(weak if found else none)())
+            tags += [2, 2, 0 if found else 2]
+        elif roll < 0.2:
             if rng.random() < 0.75:
                 cue = rng.choice(CUES)
                 tokens += [rng.choice([cue, cue.upper(), f"{word()}_{cue}"]), rng.choice(["=", ":", "is"])]
@@ -185,18 +221,20 @@ def train(lines: int = 2500, epochs: int = 4, seed: int = 11, rate: float = 0.3)
     for _ in range(lines):
         tokens, tags, file = _generated(rng)
         i = 0
+        may = [eligible(t) or cued(tokens, k) or tokens[0] == "-----BEGIN" and 2 < k < len(tokens) - 1 for k, t in enumerate(tokens)]
         while i < len(tokens):
-            if not eligible(tokens[i]):
+            if not may[i]:
                 i += 1
                 continue
             j = i
-            while j < len(tokens) and eligible(tokens[j]):
+            while j < len(tokens) and may[j]:
                 j += 1
-            run = [t if t != 1 or k else 0 for k, t in enumerate(tags[i:j])]
+            run = tags[i:j]
+            run = [0 if t == 1 and (not k or run[k - 1] == 2) else t for k, t in enumerate(run)]
             data.append(([coded(features(tokens, k, file)) for k in range(i, j)], run))
             i = j
     weights, steps = np.zeros((1 << BITS, 3)), np.zeros((3, 3))
-    steps[2, 1] = -4.0  # an inside tag doesn't follow an outside one
+    steps[2, 1] = -np.inf  # an inside tag doesn't follow an outside one
     gw, gs = np.full((1 << BITS, 3), 1e-2), np.full((3, 3), 1e-2)
     for _ in range(epochs):
         rng.shuffle(data)
@@ -230,9 +268,9 @@ def train(lines: int = 2500, epochs: int = 4, seed: int = 11, rate: float = 0.3)
     return Field(weights, steps)
 
 
-def _runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that may be tagged."""
-    out: list[list[tuple[int, int]]] = []
+def _tokens(text: str) -> list[tuple[int, int, int]]:
+    """Tokens that may be tagged, and the place of the key block that they are in, or -1."""
+    out: dict[int, tuple[int, int]] = {}
     at = 0
     while m := SOME.search(text, at):
         a = m.start()
@@ -240,12 +278,35 @@ def _runs(text: str) -> list[list[tuple[int, int]]]:
             a -= 1
         b = TOKEN.match(text, a).end() if TOKEN.match(text[a]) else a + 1
         if eligible(text[a:b]):
-            gap = text[out[-1][-1][1] : a] if out else ""
-            if out and len(gap) < 80 and "\n" not in gap and not TOKEN.search(gap):
-                out[-1].append((a, b))
-            else:
-                out.append([(a, b)])
+            out[a] = (b, -1)
         at = b
+    low = text.lower()
+    if any(h in low for h in HINTS):
+        for m in CUED.finditer(text):
+            if (t := TOKEN.match(text, m.end())) and len(t.group()) >= SHORT:
+                out.setdefault(m.end(), (t.end(), -1))
+        if "-----BEGIN" in text:
+            for m in BLOCK.finditer(text):
+                out |= {x.start(): (x.end(), m.start()) for x in LINE.finditer(text, *m.span(1))}
+    found: list[tuple[int, int, int]] = []
+    for a, (b, block) in sorted(out.items()):
+        if found and a < found[-1][1]:  # a value inside a longer token: the value
+            found.pop()
+        found.append((a, b, block))
+    return found
+
+
+def _runs(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of neighbouring tokens that may be tagged."""
+    out: list[list[tuple[int, int]]] = []
+    last = -1
+    for a, b, block in _tokens(text):
+        end = out[-1][-1][1] if out else a
+        if out and (block >= 0 and block == last or block == last and a - end < 80 and "\n" not in (gap := text[end:a]) and not TOKEN.search(gap)):
+            out[-1].append((a, b))
+        else:
+            out.append([(a, b)])
+        last = block
     return out
 
 
@@ -256,9 +317,12 @@ def field_spans(text: str, field: Field, margin: float = MARGIN) -> list[tuple[i
     kind = file_kind(text) if runs else ""
     for run in runs:
         a, b = run[0][0], run[-1][1]
-        before = TOKEN.findall(text[max(text.rfind("\n", 0, a) + 1, a - NEAR) : a])[-2:]
-        stop = text.find("\n", b)
-        after = TOKEN.findall(text[b : min(b + NEAR, len(text) if stop < 0 else stop)])[:1]
+        low = max(0, a - NEAR)
+        line = max(text.rfind("\n", low, a) + 1, low)
+        # at the start of a line, the end of the one before
+        before = TOKEN.findall(text[line:a])[-2:] or TOKEN.findall(text[max(0, line - NEAR) : line])[-2:]
+        stop = text.find("\n", b, b + NEAR)
+        after = TOKEN.findall(text[b : b + NEAR if stop < 0 else stop])[:1]
         tokens = before + [text[x:y] for x, y in run] + after
         emit = field.scores(tokens, len(before), len(before) + len(run), kind)
         emit[:, 2] += margin
@@ -276,7 +340,7 @@ NEAR = 120  # characters of the line on either side whose words are looked at
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     """Without a keyword before ``=`` and the sentence's stops."""
     for sign in "=:":
-        k = text.rfind(sign, a, b - LEAST)
+        k = text.rfind(sign, a, b - SHORT)
         if k >= 0 and text[a:k].replace("_", "").replace("-", "").isalnum() and any(c in text[a:k].lower() for c in CUES):
             a = k + 1
             break
@@ -298,8 +362,16 @@ def scan(docs: DataFrame, field: Field | None = None, redact: bool = False) -> D
             return []
         base = base_spans(text)
         out = [(a, b, KINDS[k]) for a, b, k in base]
+        joined: list[list[int]] = []
+        for a, b, _ in base:
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        starts = [a for a, _ in joined]
         for a, b in field_spans(text, shared.value):
-            if b > a and not any(a < y and x < b for x, y, _ in base):
+            k = bisect_right(starts, b - 1) - 1  # the last joined span that begins before b
+            if b > a and (k < 0 or joined[k][1] <= a):
                 out.append((a, b, "crf"))
         return sorted(out, key=lambda s: (s[0], (*KINDS, "crf").index(s[2])))
 
@@ -316,7 +388,7 @@ def scan(docs: DataFrame, field: Field | None = None, redact: bool = False) -> D
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, batch.schema.field(i), pa.array(clean, batch.schema.field(i).type))
 
-    return rows.mapInArrow(run, rows.schema if redact else "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
+    return rows.mapInArrow(lean(run), rows.schema if redact else "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
 
 
 def _redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
