@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 BITS = 16  # of the hashed feature space
 FEATURES = 4096  # features kept, the most frequent ones
@@ -102,7 +102,7 @@ def counted(docs: DataFrame) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "packed"])
             yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, "label string, packed binary")
+    return docs.mapInArrow(lean(run), "label string, packed binary")
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, model: Model | None, *more: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in names] + [pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*names, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, kinds + ", lang_pred string, score double")
+    return rows.mapInArrow(lean(run), kinds + ", lang_pred string, score double")
 
 
 def held_out() -> Column:

@@ -27,6 +27,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .common import LEAVING, lean
+
 TOP = 4
 COVER = 0.85
 LONGEST = 4000  # characters of a block; longer ones are cut at lines, or at blanks
@@ -190,6 +192,9 @@ def block_licenses(block: str) -> tuple[tuple[str, int, int, float, bool, str],
     return tuple(sorted(found, key=lambda f: f[1:3]))
 
 
+LEAVING.append(block_licenses.cache_clear)
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans around candidate lines, joined where they touch.  A joined span that would be
     over ``LONGEST`` goes on in another that overlaps it by the lines' surroundings."""
@@ -236,4 +241,4 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append([{"name": n, "start": a, "end": b, "gain": g, "exact": e, "differences": d} for n, a, b, g, e, d in (licenses(t) if t else ())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(item))], names=["doc_id", "licenses"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, licenses {KIND}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id long, licenses {KIND}")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, texts
+from .common import LEAVING, cut, lean, texts
 
 SIZE = 4096
 END = 1
@@ -90,6 +90,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+LEAVING.append(encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian
     32-bit, as binary)."""
@@ -112,7 +115,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_id
                 names = list(kinds)[1:] if with_ids else list(kinds)[1:-1]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(arrays[0]), *arrays[1 : 1 + len(names)]], names=["doc_id", *names])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class Prices:

@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import LEAVING, lean
+
 LEAF = 64
 KEPT = 1_000_000  # pre-tokens whose counts a worker remembers
 
@@ -64,6 +66,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+LEAVING.append(counter.cache_clear)
+
+
 class Tree:
     """``chars`` and ``tokens`` in heap order: node 1 is the root, leaves follow."""
 
@@ -182,5 +187,5 @@ def count(rows: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True)]], names=["doc_id", *cols])
 
     return rows.select("doc_id", F.col("text").cast("string").alias("text"), F.col("edits").cast(EDIT).alias("edits")).mapInArrow(
-        run, "doc_id long, n_pretokens long, n_tokens long, n_tokens_after long, n_reencoded long, tree_chars array<long>, tree_tokens array<long>"
+        lean(run), "doc_id long, n_pretokens long, n_tokens long, n_tokens_after long, n_reencoded long, tree_chars array<long>, tree_tokens array<long>"
     )
