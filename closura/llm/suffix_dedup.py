@@ -25,8 +25,10 @@ A group of over ``block`` segments is salted over several shards; each sends one
 for a class, with which classes are then joined across the shards.
 
 Cases: null text is empty; texts shorter than ``length`` keep all; repeated rows are
-copies of each other; a row without an id is compared with nothing and keeps all; an
-empty table gives no rows; other columns are not read.
+copies of each other; rows are told apart whatever their ids (see ``common.with_rows``), so
+rows of one id, or of none, are compared and cut each by its own text; an empty table gives
+no rows; ties (equal hashes) are settled on the bytes' suffixes; other columns are not read.
+A task holds one text of any length, in about 40 times its size.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, mix, prefix_sums, slices, span_hash, tidy
+from .common import cut, lean, mix, prefix_sums, slices, span_hash, tidy, with_rows
 
 LENGTH = 400  # bytes of a repeated string
 GRAM = 128  # bytes hashed for a key
@@ -225,7 +227,7 @@ def segment_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     names=["doc_id", "begin", "count", "at", "key", "seg"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, begin long, count int, at int, key long, seg long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, begin long, count int, at int, key long, seg long")
 
 
 def _intervals(rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,8 +286,10 @@ def shard_results(texts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         if held:
             yield shard(held)
 
-    ordered = texts.select(*fields).repartition("grp", "salt").sortWithinPartitions("grp", "salt", "seg", "base")
-    return ordered.mapInArrow(run, "grp long, key long, seg long, first int, last int, window long")
+    # as many tasks as there are shards: by bytes alone, a few tasks would get all the sorting
+    size = texts.agg(F.sum(F.length("body"))).first()[0] or 0
+    ordered = texts.select(*fields).repartition(max(1, -(-size // shard_bytes)), "grp", "salt").sortWithinPartitions("grp", "salt", "seg", "base")
+    return ordered.mapInArrow(lean(run), "grp long, key long, seg long, first int, last int, window long")
 
 
 def _told_apart(rows: DataFrame, block: int, length: int) -> tuple[DataFrame, DataFrame]:
@@ -320,9 +324,8 @@ def _told_apart(rows: DataFrame, block: int, length: int) -> tuple[DataFrame, Da
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blocks: tuple = BLOCKS, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, spans: array of (start, end) of repeated bytes, overlapping or not, for
-    the documents that have any."""
+    the documents that have any; each row has an id of its own."""
     spark = docs.sparkSession
-    docs = docs.where(F.col("doc_id").isNotNull())
     segments = cut(segment_table(docs, length, gram))
     kinds = segments.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "begin", "count", "at")).alias("one"))
     kinds = cut(kinds.select("key", "seg", "copies", "one.*"))
@@ -330,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     keys = kinds.groupBy("key").agg(F.count("*").alias("segs"), F.min("copies").alias("least")).where("segs > 1 and least = 1").select("key")
     mixed = kinds.join(keys, "key")
     body = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
-    rows = mixed.join(body.dropDuplicates(["doc_id"]) if _repeats(docs) else body, "doc_id").select(
+    rows = mixed.join(body, "doc_id").select(
         F.col("key").alias("grp"), "key", "seg", F.lit(0).alias("base"), "at", "count", "copies", F.expr(f"substring(raw, cast(begin as int) + 1, count + {length - 1})").alias("body")
     )
     rows = cut(rows)
@@ -350,15 +353,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     return hit.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def cleaned(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row."""
-    spans = repeated_spans(docs, length, **options).withColumnRenamed("doc_id", "span_id")
-    rows = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")), "left").select("doc_id", "raw", F.array_sort("spans").alias("spans"))
+    docs, _ = with_rows(docs, F.col("text").cast("string").alias("text"))
+    spans = repeated_spans(docs.select(F.col("row").alias("doc_id"), "text"), length, **options).withColumnRenamed("doc_id", "row")
+    rows = docs.select("row", "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    joined = rows.join(spans, "row", "left").select("doc_id", "raw", F.array_sort("spans").alias("spans"))
 
     def run(batches):
         for batch in batches:
@@ -383,5 +383,5 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
             arrays = [pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in cols.items()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *cols])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

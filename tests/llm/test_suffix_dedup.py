@@ -24,7 +24,7 @@ def test_suffix_array(n, k):
 
 
 def brute(rows, length):
-    texts = [(t or "").encode() if i is not None else b"" for i, t, *_ in rows]
+    texts = [(t or "").encode() for _, t, *_ in rows]
     seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
     for (i, t, *_), raw in zip(rows, texts, strict=True):
@@ -53,7 +53,10 @@ def test_brute_force(spark, length, gram, blocks, block):
 
 
 def test_cases(spark):
-    rows = [r for r in edge_rows() if r[0] != 9 and (r[1] is None or len(r[1]) < 10_000)]
+    rows = [r for r in edge_rows() if r[1] is None or len(r[1]) < 10_000]
+    assert got(sd.cleaned(frame(spark, rows))) == brute(rows, 400)
+    a, b = (words(random.Random(k), 160) for k in (5, 6))  # rows of one id, and of none, each by its own text
+    rows = [(9, a, "en", "a"), (9, b, "en", "a"), (5, b, "en", "a"), (None, a, "en", "a"), (None, "short", "en", "a")]
     assert got(sd.cleaned(frame(spark, rows))) == brute(rows, 400)
     long = [r for r in edge_rows() if r[0] in (7, 8)]
     assert [(r["n_removed"], r["n_spans"]) for r in sd.cleaned(frame(spark, long)).collect()] == [(len(long[0][1]), 1)] * 2
