@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lineage import cut
+from .lineage import cut, discard
 from .primitives import COLS, union
 
 
@@ -14,25 +14,29 @@ class Diverged(RuntimeError):
     """A fixpoint took more rounds than allowed."""
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], most: int = 200, cols: tuple[str, ...] = COLS, known: DataFrame | None = None) -> DataFrame:
+def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], most: int = 200, cols: tuple[str, ...] = COLS, known: DataFrame | None = None, only_new: bool = False) -> DataFrame:
     """The least set with ``start`` that ``step(new, all, round)`` adds nothing to.
     ``known`` is a set to which it adds nothing already; only what ``start`` has beyond
-    it is new.
+    it is new, and with ``only_new`` only what was found beyond it is returned.
 
     ``new`` are last round's rows; ``all`` has them.  Each round writes only its new
-    rows, and ``all`` is the union of what the rounds wrote."""
+    rows, and ``all`` is the union of what the rounds wrote; ``known`` is never written
+    again, and files that were put together are deleted."""
     first = start.select(*cols).distinct()
     new = cut(first if known is None else first.join(known, list(cols), "left_anti"))
-    parts = [new] if known is None else [known, new]
+    fresh = [new]
     for k in range(most):
-        whole = parts[0] if len(parts) == 1 else _all(parts)
+        whole = _all(fresh if known is None else [known, *fresh])
         found = step(new, whole, k).select(*cols).distinct().join(whole, list(cols), "left_anti")
         new = cut(found)
         if not new.limit(1).count():
-            return whole
-        parts.append(new)
-        if len(parts) > 12:  # many small parts: one scan again
-            parts = [cut(_all(parts))]
+            discard(new)
+            return _all(fresh) if only_new else whole
+        if len(fresh) > 10:  # many small parts: one scan again
+            one = cut(_all(fresh))
+            discard(*fresh)
+            fresh = [one]
+        fresh.append(new)
     raise Diverged(f"no fixpoint after {most} rounds")
 
 
@@ -80,7 +84,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         links = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = cut(links.union(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, cut(links.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
     raise Diverged("components did not settle")
 
 

@@ -27,4 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     anew, statistics are known, and a lost executor costs no earlier round."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``cut`` that nothing reads any more."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

@@ -7,7 +7,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType, LongType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.vocab import FIRST_USER_ID, IRIS
 from ..operators.primitives import COLS, SIGNED
@@ -59,9 +59,10 @@ def signed(facts: DataFrame, diff: int = 1) -> DataFrame:
     return facts.select(*COLS, F.lit(diff).cast("int").alias("diff"))
 
 
-def read_feed(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """A stream of signed updates from Parquet files (s, p, o, diff, seq)."""
-    schema = StructType([*SIGNED.fields, StructField("seq", LongType(), False)])
+def read_feed(spark: SparkSession, path: str, per_trigger: int | None = None, axioms: bool = False) -> DataFrame:
+    """A stream of signed updates from Parquet files (s, p, o, diff, seq), with ``axioms`` also
+    of the schema (and axiom, true for these)."""
+    schema = StructType([*SIGNED.fields, StructField("seq", LongType(), False), *[StructField("axiom", BooleanType(), False)] * axioms])
     reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from closura.operators.primitives import SIGNED, triples
 from closura.plans.profiles import materialize
 from closura.sources.triples import read_feed, signed
-from closura.streaming.feed import materialize_stream
+from closura.streaming.feed import last_epoch, materialize_stream, restore
 from closura.streaming.incremental import Incremental, phases
 
 SCHEMA = [(49, 0, 47), (51, 0, 49), (57, 1, 58), (57, 4, 11), (61, 12, 57), (57, 2, 51), (58, 3, 52)]
@@ -91,5 +91,16 @@ def test_stream(spark, tmp_path):
     run()
     t = triples(spark, SCHEMA)
     assert rows(state.abox) == rows(materialize(t, triples(spark, [(1, 57, 2)]), "rdfspp").abox)
+    # a new process: nothing but the files; a schema update comes with the facts
+    state = Incremental("rdfspp")
+    more = seq(signed(triples(spark, [(5, 57, 6)])), 2).withColumn("axiom", F.lit(False)).union(seq(signed(triples(spark, [(57, 0, 99), (51, 0, 77)])), 2).withColumn("axiom", F.lit(True)))
+    more.coalesce(1).write.mode("append").parquet(feed)
+    materialize_stream(read_feed(spark, feed, axioms=True).fillna(False, ["axiom"]), state, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    t = triples(spark, [*SCHEMA, (57, 0, 99), (51, 0, 77)])
+    assert rows(state.abox) == rows(materialize(t, triples(spark, [(1, 57, 2), (5, 57, 6)]), "rdfspp").abox)
+    assert {(57, 0, 99, 1), (51, 0, 77, 1)} <= rows(spark.read.parquet(str(tmp_path / "out-schema")).select("s", "p", "o", "diff"))
+    again = Incremental("rdfspp")  # the last epoch is known to be done
+    restore(spark, str(tmp_path / "cp-state"), again, last_epoch(spark, str(tmp_path / "cp-state")))
+    assert rows(again.abox) == rows(state.abox) and rows(again.tbox) == rows(state.tbox) and again.epoch == 3
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.where("diff = -1").count() == out.where("diff = 1").count() - state.abox.count()
