@@ -42,6 +42,13 @@ LISTS = [
     (g.BUYS_FROM, v.PROPERTY_CHAIN_AXIOM, 3001), (2050, v.INTERSECTION_OF, 3011), (2051, v.UNION_OF, 3011), (2052, v.ONE_OF, 3021),
 ]
 
+#: What the deviating readings of the schema rules need to have something to do.
+COMPAT = [
+    (v.OBJECT_PROPERTY, TYPE, v.CLASS), (2061, v.SUB_CLASS_OF, 2062), (2060, v.SOME_VALUES_FROM, 2061), (2060, v.ON_PROPERTY, 1030), (2062, v.SOME_VALUES_FROM, 2063), (2063, v.ON_PROPERTY, 1030),
+    (2064, v.SOME_VALUES_FROM, 2065), (2064, v.ON_PROPERTY, 1020), (2065, v.SOME_VALUES_FROM, 2066), (2066, v.ON_PROPERTY, 1021), (2067, v.ALL_VALUES_FROM, 2061), (2067, v.ON_PROPERTY, 1031), (2062, v.ALL_VALUES_FROM, 2068),
+    (2068, v.ON_PROPERTY, 1031), (2069, v.ALL_VALUES_FROM, 2070), (2069, v.ON_PROPERTY, 1020), (2070, v.ALL_VALUES_FROM, 2071), (2071, v.ON_PROPERTY, 1021),
+]
+
 ALL_FACTS = ("in_nation", "in_region", "placed_by", "segment", "priority")
 E_SQL = f"SELECT x.s AS a, y.s AS b FROM (SELECT s, o FROM ({g.SQL['content_key']})) x JOIN (SELECT s, o FROM ({g.SQL['content_key']})) y ON x.o = y.o WHERE x.o IN (SELECT o FROM ({g.SQL['content_key']}) GROUP BY o HAVING count(*) > 1)"
 
@@ -80,9 +87,9 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-def rule_query(name: str, r: Rule, names: tuple[str, ...] = ALL_FACTS) -> None:
+def rule_query(name: str, r: Rule, names: tuple[str, ...] = ALL_FACTS, schema: list[tuple] = SCHEMA) -> None:
     def run(spark, sf_dir):
-        t, a = g.axioms(spark, SCHEMA), g.graph(spark, sf_dir, *names)
+        t, a = g.axioms(spark, schema), g.graph(spark, sf_dir, *names)
         sources = {"T": (None, t), "A": (None, a)}
         if any(x == "E" for x, _ in r.body):
             sources["E"] = (None, same_as(spark, sf_dir))
@@ -91,7 +98,7 @@ def rule_query(name: str, r: Rule, names: tuple[str, ...] = ALL_FACTS) -> None:
 
     run.__name__ = name
     _queries[name] = run
-    _sql[name] = rule_sql(r, g.values_sql(SCHEMA), g.graph_sql(*names), E_SQL)
+    _sql[name] = rule_sql(r, g.values_sql(schema), g.graph_sql(*names), E_SQL)
 
 
 def same_as(spark, sf_dir: str) -> DataFrame:
@@ -169,8 +176,13 @@ for _name, _rule in rulesets.fact_rules().items():
         rule_query(_name.replace("-", "_"), _rule, ("preceded_by",) if _name == "prp-trp" else ALL_FACTS)
 for _name, _rule in rulesets.fact_rules(True).items():
     if _rule != rulesets.fact_rules()[_name]:
-        rule_query(_name.replace("-", "_") + "_compat", _rule)
+        rule_query(_name.replace("-", "_") + "_compat", _rule, ("segment", "segment_kind") if _name == "prp-trp" else ALL_FACTS)
+for _name, _rule in rulesets.schema_rules(True).items():
+    if _rule != rulesets.schema_rules()[_name]:
+        rule_query(_name.replace("-", "_") + "_compat", _rule, ("in_region",), SCHEMA + COMPAT)
 rule_query("prp_fp", rulesets.identity_rules()["prp-fp"], ("supplied_by",))
+rule_query("prp_fp_compat", rulesets.identity_rules(True)["prp-fp"], ("supplied_by",))
+rule_query("prp_ifp_compat", rulesets.identity_rules(True)["prp-ifp"], ("content_key",))
 rule_query("prp_ifp", rulesets.identity_rules()["prp-ifp"], ("content_key",))
 for _name, _from in (("eq-rep-s", "content_key"), ("eq-rep-o", "content_of"), ("eq-rep-p", "by_document")):
     rule_query(_name.replace("-", "_"), rulesets.fact_rules()[_name], (_from,))

@@ -54,6 +54,9 @@ def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "segment":
         k = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
         return t("customer").where(k > 0).select(*facts(node("customer", "c_custkey"), v.TYPE, k - 1 + SEGMENT))
+    if name == "segment_kind":  # segments are themselves of a type: facts of type that chain
+        k = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
+        return t("customer").where(k > 0).select(*facts(k - 1 + SEGMENT, v.TYPE, node("nation", "c_nationkey"))).distinct()
     if name == "priority":
         return t("orders").select(*facts(node("order", "o_orderkey"), HAS_PRIORITY, F.substring("o_orderpriority", 1, 1).cast("long") + 2100))
     raise KeyError(name)
@@ -72,6 +75,7 @@ SQL = {
     "segment": f"SELECT {_B['customer']}+c_custkey AS s, {v.TYPE} AS p, CASE c_mktsegment " + " ".join(f"WHEN '{x}' THEN {SEGMENT + i}" for i, x in enumerate(SEGMENTS)) + " END AS o FROM customer",
     "priority": f"SELECT {_B['order']}+o_orderkey AS s, {HAS_PRIORITY} AS p, 2100+CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS o FROM orders",
 }
+SQL["segment_kind"] = f"SELECT DISTINCT s.o AS s, {v.TYPE} AS p, {_B['nation']}+c_nationkey AS o FROM ({SQL['segment']}) s JOIN customer ON s.s = {_B['customer']}+c_custkey"
 SQL["content_of"] = f"SELECT o AS s, {CONTENT_OF} AS p, s AS o FROM ({SQL['content_key']})"
 SQL["by_document"] = f"SELECT o AS s, s AS p, o FROM ({SQL['content_key']})"
 

@@ -111,6 +111,30 @@ def test_every_rule_once(spark):
         assert got == naive.once(r, {"T": set(schema), "A": set(facts), "E": {(1001, 1002)}}), r.name
 
 
+def test_schema_comes_before_the_second_fact(spark, monkeypatch):
+    """Whatever place is new, facts meet the schema before they meet other facts."""
+    from closura.plans import rules
+
+    seen = []
+    plain = rules._joined
+    monkeypatch.setattr(rules, "_joined", lambda atoms, r: seen.append([set(a.columns) for a in atoms]) or plain(atoms, r))
+    t, a = triples(spark, [(100, 4, 42)]), triples(spark, FACTS)
+    r = rulesets.identity_rules()["prp-ifp"]
+    for new in (None, a):
+        apply(r, {"T": (None, t), "A": (new, a)})
+    assert len(seen) == 3 and all(x[1] == {"p"} for x in seen)
+
+
+def test_driver_side_closures_are_bounded():
+    chain = [(i, v.SUB_CLASS_OF, i + 1) for i in range(100, 200)]
+    rules = [rulesets.schema_rules()["scm-sco"]]
+    assert len(local.closed(chain, rules)) == 100 * 101 // 2
+    with pytest.raises(local.TooLarge):
+        local.closed(chain, rules, most=2_000)
+    with pytest.raises(local.TooLarge):
+        property_rewrites([(i, v.SUB_PROPERTY_OF, i + 1) for i in range(100, 200)], most=2_000)
+
+
 def test_semi_naive_places(spark):
     r = rule("x", "A ?a 100 ?b; A ?b 100 ?c -> ?a 100 ?c")
     old, new = [(1, 100, 2), (2, 100, 3)], [(3, 100, 4)]
