@@ -6,6 +6,7 @@ the same tables.  Rule queries apply one rule once; profile queries go to the fi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import graph as g
 from .functions import vocab as v
 from .operators import fixpoint as fx, lists as ls, primitives as pr
+from .operators.lineage import shared_dir
 from .plans import rulesets
 from .plans.profiles import close_schema, materialize
 from .plans.rules import Rule, apply
+from .sources import triples as src
+from .streaming.feed import materialize_stream
 from .streaming.incremental import Incremental
 
 TYPE = v.TYPE
@@ -426,6 +430,90 @@ def batch_log(spark, sf_dir):
     return spark.createDataFrame([(i, r[2], r[3]) for i, r in enumerate(state.log)], "batch long, added long, removed long")
 
 
+# -- sources and streams -------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@register("encoded_round_trip", g.graph_sql(*ALL_FACTS))
+def encoded_round_trip(spark, sf_dir):
+    """Facts written as encoded lines and read again."""
+    path = _folder(spark)
+    src.write_encoded(g.graph(spark, sf_dir, *ALL_FACTS), path)
+    return src.read_encoded(spark, path)
+
+
+@register("table_by_predicate", g.graph_sql("placed_by"))
+def table_by_predicate(spark, sf_dir):
+    """Facts kept in folders by predicate, of which one is read."""
+    path = _folder(spark)
+    src.write_table(g.graph(spark, sf_dir, *ALL_FACTS), path, by_predicate=True)
+    return pr.where_predicate(src.read_table(spark, path), g.PLACED_BY)
+
+
+@register("ntriples_round_trip", f"SELECT '<urn:n' || s || '>' AS s, '<urn:p' || p || '>' AS p, '\"' || o || '\"' AS o FROM ({g.graph_sql('in_nation', 'in_region')})")
+def ntriples_round_trip(spark, sf_dir):
+    """Facts written as N-Triples, read, encoded by a dictionary of their terms, and decoded."""
+    path = _folder(spark)
+    line = F.format_string('<urn:n%d> <urn:p%d> "%d" .', "s", "p", "o")
+    g.graph(spark, sf_dir, "in_nation", "in_region").select(line).write.text(path)
+    texts = src.read_ntriples(spark, path)
+    ids = src.dictionary(texts)
+    return src.decode(src.encode(texts, ids), ids)
+
+
+def _streamed(spark, sf_dir: str) -> str:
+    """A stream that takes the schema and half of the facts, ends, and is started again with
+    an empty state for the other half and for what is taken out; gives the folder of changes."""
+    place = _folder(spark)
+    row = lambda df, diff, axiom: df.select("s", "p", "o", F.lit(diff).alias("diff"), F.lit(0).cast("long").alias("seq"), F.lit(axiom).alias("axiom"))
+    first = row(g.axioms(spark, PROFILE_SCHEMA), 1, True).union(row(_half(spark, sf_dir, 0).union(g.edges(spark, sf_dir, "in_region")), 1, False))
+    second = row(_half(spark, sf_dir, 1), 1, False).union(row(_half(spark, sf_dir, 0).where("s % 4 = 2"), -1, False))
+    for part in (first, second):
+        part.write.mode("append").parquet(f"{place}/feed")
+        feed = src.read_feed(spark, f"{place}/feed", axioms=True)
+        materialize_stream(feed, Incremental("rdfspp"), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return f"{place}/out"
+
+
+def _epochs(spark, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).select("s", "p", "o", F.col("epoch").cast("long").alias("epoch"), F.col("diff").cast("int").alias("diff"))
+
+
+_START = f"SELECT *, CAST(0 AS BIGINT) AS epoch, CAST(1 AS INTEGER) AS diff FROM ({_closure_sql('s % 2 = 0')})"
+
+
+@register("stream_changes", f"{_START} UNION ALL {_diff_sql(_closure_sql('s % 2 = 0'), _closure_sql('s % 4 <> 2'), 1)}")
+def stream_changes(spark, sf_dir):
+    """The closure's changes by epoch, over a restart."""
+    return _epochs(spark, _streamed(spark, sf_dir))
+
+
+@register("stream_schema", f"SELECT *, CAST(0 AS BIGINT) AS epoch, CAST(1 AS INTEGER) AS diff FROM ({g.values_sql([(g.CUSTOMER, v.SUB_CLASS_OF, g.AGENT), (g.AGENT, v.SUB_CLASS_OF, 2020), (g.CUSTOMER, v.SUB_CLASS_OF, 2020)])})")
+def stream_schema(spark, sf_dir):
+    """The schema's changes by epoch: classes and those above them."""
+    return pr.where_predicate(_epochs(spark, f"{_streamed(spark, sf_dir)}-schema"), v.SUB_CLASS_OF)
+
+
+# -- identity that facts follow --------------------------------------------------------
+
+NOTE = 1040
+_NOTE = f"SELECT s, CAST({NOTE} AS BIGINT) AS p, s + 4000000000 AS o FROM ({g.graph_sql('content_key')})"
+
+
+@register(
+    "owl2rl_identity",
+    f"SELECT * FROM ({g.graph_sql('content_key')}) UNION {_NOTE} UNION SELECT e.a AS s, n.p, n.o FROM ({E_SQL}) e JOIN ({_NOTE}) n ON n.s = e.b UNION {g.values_sql([(v.THING, TYPE, v.CLASS), (v.NOTHING, TYPE, v.CLASS)])}",
+)
+def owl2rl_identity(spark, sf_dir):
+    """Each document has a note of its own; those of equal content have each other's, too."""
+    keys = g.edges(spark, sf_dir, "content_key")
+    notes = keys.select("s", F.lit(NOTE).cast("long").alias("p"), (F.col("s") + 4000000000).alias("o"))
+    return materialize(g.axioms(spark, [(g.CONTENT_KEY, TYPE, v.INVERSE_FUNCTIONAL)]), keys.union(notes), "owl2rl").abox
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lineage import cut, discard
+from .lineage import cut, described, discard
 from .primitives import COLS, union
 
 
@@ -28,7 +28,8 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataF
     for k in range(most):
         whole = _all(fresh if known is None else [known, *fresh])
         found = step(new, whole, k).select(*cols).distinct().join(whole, list(cols), "left_anti")
-        new = cut(found)
+        with described(start.sparkSession, f"fixpoint round {k + 1}"):
+            new = cut(found)
         if not new.limit(1).count():
             discard(new)
             return _all(fresh) if only_new else whole
@@ -73,7 +74,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most):
+    for k in range(most):
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before or not now[0]:
             return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
@@ -84,7 +85,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         links = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        last, e = e, cut(links.union(low.select("u", F.col("m").alias("v"))).distinct())
+        with described(edges.sparkSession, f"components round {k + 1}"):
+            last, e = e, cut(links.union(low.select("u", F.col("m").alias("v"))).distinct())
         discard(last)
     raise Diverged("components did not settle")
 

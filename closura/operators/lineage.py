@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,15 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextmanager
+def described(spark: SparkSession, text: str) -> Iterator[None]:
+    """Jobs started inside show ``text`` as their description, after what they had before."""
+    sc = spark.sparkContext
+    before = sc.getLocalProperty("spark.job.description")
+    sc.setLocalProperty("spark.job.description", f"{before}: {text}" if before else text)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty("spark.job.description", before)

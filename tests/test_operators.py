@@ -78,3 +78,15 @@ def test_shared_tail_and_cycle(spark):
     with pytest.raises(ls.CyclicList):
         ls.expanded(pr.triples(spark, [(1, 7, 10), (1, 6, 2), (2, 7, 20), (2, 6, 3), (3, 7, 30), (3, 6, 2)]))
     assert ls.expanded(pr.triples(spark, [])).count() == 0
+
+
+def test_descriptions_of_jobs(spark):
+    from closura.operators.lineage import described
+
+    sc, key = spark.sparkContext, "spark.job.description"
+    with described(spark, "outer"):
+        with pytest.raises(ZeroDivisionError), described(spark, "inner"):
+            assert sc.getLocalProperty(key) == "outer: inner"
+            1 / 0  # noqa: B018
+        assert sc.getLocalProperty(key) == "outer"
+    assert sc.getLocalProperty(key) is None
