@@ -57,8 +57,8 @@ _multipliers = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uin
 
 def grams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Offsets of the normalised rows, hashed n-grams of each order by start, and the
-    normalised rows' lengths.  A gram that runs into the next row has its row's blank
-    at the end, and is as good as any."""
+    normalised rows' lengths.  Past a row's end there are blanks, so a text's grams are
+    its own, whatever row comes next."""
     letter = LETTER[raw]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other byte after a letter stands for the run
@@ -72,7 +72,11 @@ def grams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
     n = len(body)
     out, h = [], np.zeros(n, np.uint32)
     for k in range(len(ORDERS)):
-        h = (h + padded[k : k + n] + np.uint32(1)) * _multipliers[k]
+        ahead = padded[k : k + n].copy()
+        for j in range(1, k + 1):
+            p = at[1:] - j
+            ahead[p[p >= at[:-1]]] = 32
+        h = (h + ahead + np.uint32(1)) * _multipliers[k]
         out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS))
     return at, out, np.diff(at)
 
