@@ -48,14 +48,15 @@ def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> tuple[Data
     points = points.withColumn("arc", (F.row_number().over(Window.orderBy("position", "shard", "copy")) - 1).cast("int"))
     # two turns, so that each point sees all shards after it
     turns = points.union(points.withColumn("arc", F.col("arc") + n))
-    after = Window.orderBy("arc").rowsBetween(0, Window.unboundedFollowing)
+    # backwards, as frames that only grow cost one step a row
+    after = Window.orderBy(F.desc("arc")).rowsBetween(Window.unboundedPreceding, 0)
     nearest = [F.struct(F.min(F.when(F.col("shard") == s, F.col("arc"))).over(after).alias("at"), F.lit(s).alias("shard")) for s in range(shards)]
     ways = turns.select("arc", F.transform(F.array_sort(F.array(*nearest)), lambda x: x["shard"]).alias("way")).where(F.col("arc") < n)
     # the first point at or after each position; past the last one the ring begins anew
     at = points.groupBy("position").agg(F.min("arc").alias("arc"))
     every = spark.range(0, RING, 1, 1).select(F.col("id").cast("int").alias("position")).join(F.broadcast(at), "position", "left")
-    on = Window.orderBy("position").rowsBetween(0, Window.unboundedFollowing)
-    return every.select("position", F.coalesce(F.min("arc").over(on), F.lit(0)).alias("arc")), ways
+    on = Window.orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, 0)
+    return cut(every.select("position", F.coalesce(F.min("arc").over(on), F.lit(0)).alias("arc"))), cut(ways)
 
 
 def placed(arcs: DataFrame, shards: int) -> DataFrame:
