@@ -225,6 +225,7 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
     if rows is None or len(items) > limit:
         rows = None
     facts = dict(rulesets.fact_rules(compat))
+    kinds = (v.FUNCTIONAL, v.INVERSE_FUNCTIONAL)
     if rows is not None:
         heads = lambda p: [(s, items[o]) for s, q, o in rows if q == p and o in items]
         listed = rulesets.list_rules(heads(v.PROPERTY_CHAIN_AXIOM), heads(v.INTERSECTION_OF), compat)
@@ -233,7 +234,6 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
         try:
             rest = _compiled([r for k, r in (facts | listed).items() if k not in single and not k.startswith("eq-")], rows, spark)
             rewrites = property_rewrites(rows, symmetric=not compat)
-            identity = _compiled(list(rulesets.identity_rules(compat).values()), rows, spark)
         except local.TooLarge:
             rows = None
     constant = triples(spark, [(v.THING, v.TYPE, v.CLASS), (v.NOTHING, v.TYPE, v.CLASS)])
@@ -254,7 +254,7 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
                 out = out.unionByName(more)
             return out
 
-        identical = lambda a: [apply(r, {"A": (None, a), "T": (None, t)}, "T") for r, t in identity]
+        identical = lambda a: stars(a, *[_table(spark, {(s,) for s, p, o in rows if o == kind and (compat or p == v.TYPE)}, "p long") for kind in kinds])
         edges = spark.createDataFrame([(s, o) for s, p, o in rows if p == v.SAME_AS], "a long, b long")
     else:
         unrolled = ls.unrolled(lists)
@@ -265,7 +265,8 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
             out = apply_all(plain, {"A": (new, whole), "T": (None, tbox)})
             return union(out, _intersections(tbox, lists, whole, compat), _chains(tbox, lists, whole))
 
-        identical = lambda a: [apply(r, {"A": (None, a), "T": (None, tbox)}) for r in rulesets.identity_rules(compat).values()]
+        said = tbox if compat else tbox.where(F.col("p") == v.TYPE)
+        identical = lambda a: stars(a, *[said.where(F.col("o") == kind).select(F.col("s").alias("p")).distinct() for kind in kinds])
         edges = pairs(tbox, v.SAME_AS, "a", "b")
     replace = [facts[k] for k in ("eq-rep-s", "eq-rep-p", "eq-rep-o")]
     same = None
@@ -295,6 +296,21 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
     return whole, same
 
 
+def stars(facts: DataFrame, functional: DataFrame, inverse: DataFrame, salts: int = 64) -> list[DataFrame]:
+    """Edges (a, b) that connect what prp-fp and prp-ifp make the same: of a key's members
+    each is tied to the least of its salt, and these to the least of all, so a key of m
+    members gives at most m - 1 edges, and none of its steps has a key in one task."""
+    out = []
+    for properties, key, member in ((functional, "s", "o"), (inverse, "o", "s")):
+        of = facts.join(properties, "p", "left_semi").select("p", F.col(key).alias("k"), F.col(member).alias("a"))
+        of = of.withColumn("salt", F.pmod(F.hash("a"), F.lit(salts)))
+        some = of.groupBy("p", "k", "salt").agg(F.min("a").alias("b"))
+        out.append(of.join(some, ["p", "k", "salt"]).where("a <> b").select("a", "b"))
+        least = some.groupBy("p", "k").agg(F.min("b").alias("c"))
+        out.append(some.join(least, ["p", "k"]).where("b <> c").select(F.col("b").alias("a"), F.col("c").alias("b")))
+    return out
+
+
 def _intersections(tbox: DataFrame, lists: DataFrame, facts: DataFrame, compat: bool) -> DataFrame:
     """cls-int1 as a division: members of all classes of a list."""
     wanted = pairs(tbox, v.INTERSECTION_OF, "c", "head").join(lists, "head").select("c", F.array_distinct("items").alias("items"))
@@ -333,4 +349,4 @@ def materialize(tbox: DataFrame, abox: DataFrame, profile: str = "rdfspp", compa
     return Materialized(closed, lists, rdfs(closed, abox, profile == "rdfspp", limit), none)
 
 
-__all__ = ["Materialized", "TRIPLE", "close_schema", "materialize", "owl2rl", "profile_of", "property_rewrites", "rdfs"]
+__all__ = ["Materialized", "TRIPLE", "close_schema", "materialize", "owl2rl", "profile_of", "property_rewrites", "rdfs", "stars"]
