@@ -3,11 +3,12 @@
 A document is its token ids and an end id; one longer than a sequence is cut into
 whole sequences and a rest.  The histogram of piece lengths (at most ``size`` numbers,
 whatever the corpus) goes to the driver, where the program "fewest patterns that cover
-every length" is solved by multiplicative weights: each round prices all lengths that
-aren't covered, a bounded knapsack table over the capacity gives the best pattern for
-each of them, and the lengths these cover lose weight, until every length is covered.
-Best fit, again on counts, is taken instead where it needs fewer sequences.  The plan (a row for each length in each pattern) is bounded by the histogram, not the
-corpus.
+every length" is solved by multiplicative weights: patterns' uses are weights, lengths have
+prices, and knapsack tables over the capacity find the patterns that pay at these prices.
+Uses are fractions, and the prices bound what any packing needs (``fractional``).  They are
+rounded down, which leaves at most a sequence for each pattern in use, whatever the corpus; the
+pieces left are packed by whole patterns or by best fit.  The plan (a row for each
+length in each pattern) is bounded by the histogram, not the corpus.
 
 Pieces take places by their rank among those of their length.  Ranks are counted in
 salted groups of about ``GROUP`` rows, so no length gathers in one task.
@@ -22,6 +23,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ from .common import LEAVING, cut, lean, texts
 SIZE = 4096
 END = 1
 GROUP = 2_000
+TABLES = 40  # knapsack tables of the program
+SWEEPS = 150  # changes of all prices between two tables
+HEAT, COOLING, COLDEST = 0.06, 0.7, 0.0005  # of the patterns' weights
+NEAR = 0.001  # the program's value over its bound
 WORDS_KEPT = 300_000  # words whose ids a worker remembers
 CLASSES = (2, 0)  # lengths over size / 2 are covered first, then the others
 
@@ -178,13 +184,90 @@ class Prices:
 
 def solve(have: np.ndarray, rounds: int | None = None, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
     """Patterns and how often each is used; have[l] pieces of length l, all packed: the
-    program's, or best fit's where those are fewer sequences (where most pieces are over a
-    half of ``size``, so full patterns aren't what counts)."""
+    program's, or best fit's should those be fewer sequences."""
     return min(program(have, rounds, rate), best_fit(have), key=lambda plan: sum(times for _, times in plan))
 
 
+class Fractional(NamedTuple):
+    patterns: list[dict[int, int]]
+    uses: np.ndarray  # of each pattern, fractions too
+    value: float  # sequences that cover all pieces if patterns may be used in part
+    bound: float  # no packing has fewer
+
+
+def fractional(have: np.ndarray, tables: int = TABLES, sweeps: int = SWEEPS) -> Fractional:
+    """The configuration program's fractional solution, by multiplicative weights.
+
+    A length has a price, at first its share of a sequence.  A pattern's weight, the number
+    of its uses, is multiplied by exp(change of its price / heat).  In a sweep each length's price
+    goes up by the logarithm of what is asked over what is covered, so patterns of what is
+    lacking gain weight and those of what is there twice lose it.  After ``sweeps`` the prices go to the
+    knapsack, whose patterns of a price over 1 join, and the heat falls.  With the dearest
+    pattern's price as divisor, prices are a solution of the dual program and so a bound for
+    every packing; it ends when the value is within ``NEAR`` of the best bound.
+
+    What stays uncovered counts in ``value`` as patterns of its length alone."""
+    size = len(have) - 1
+    asked = have.astype(np.float64)
+    asked[0] = 0
+    lengths, live = np.arange(size + 1), asked > 0
+    if not live.any():
+        return Fractional([], np.zeros(0), 0.0, 0.0)
+    alone = size // np.maximum(1, lengths)
+    price = np.where(live, lengths / size, 0.0)
+    found: dict[tuple, None] = {}
+    best, bound, heat = None, 0.0, HEAT
+    for _ in range(tables):
+        top = 0.0
+        for p in Prices(price, alone * live).patterns():
+            worth = sum(price[l] * a for l, a in p.items())
+            top = max(top, worth)
+            key = tuple(sorted(p.items()))
+            if worth > 1 or best is None:
+                found[key] = None
+        bound = max(bound, float(asked @ price) / top)
+        if best is not None and best[0] <= (1 + NEAR) * bound:
+            break
+        l, a = np.array([x for key in found for x in key]).T
+        c = np.repeat(np.arange(len(found)), [len(key) for key in found])
+        n = np.bincount(c, a)
+        start = np.log(asked.sum() / len(found))
+        for _ in range(sweeps):
+            uses = np.exp(np.minimum((np.bincount(c, a * price[l]) - 1) / heat, 50) + start)
+            covered = np.maximum(np.bincount(l, a * uses[c], size + 1), 1e-300)
+            shared = np.maximum(np.bincount(l, a * (n * uses)[c], size + 1), 1e-300)
+            # divided by a pattern's pieces, for the prices of all of them change at once
+            step = heat * np.log(np.maximum(asked, 1e-300) / covered) * covered / shared
+            price = np.where(live, np.maximum(0, price + step), 0)
+        value = float(uses.sum() + (np.maximum(0, asked - covered)[live] / alone[live]).sum())
+        if best is None or value < best[0]:
+            best = value, uses, list(found)
+        heat = max(COLDEST, heat * COOLING)
+    value, uses, keys = best
+    return Fractional([dict(key) for key in keys], uses, value, bound)
+
+
 def program(have: np.ndarray, rounds: int | None = None, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """The configuration program's plan for all pieces.
+    """The configuration program's plan for all pieces: its fractional solution's uses,
+    rounded down, and what that leaves by ``leftover`` (as it takes ``rounds`` and ``rate``)
+    or ``best_fit``."""
+    left = have.astype(np.int64).copy()
+    left[0] = 0
+    solution = fractional(left)
+    plan: list[tuple[dict[int, int], int]] = []
+    for i in np.argsort(-solution.uses, kind="stable").tolist():
+        p = solution.patterns[i]
+        # uses may cover a bit more than there is
+        times = min(int(solution.uses[i]), *(int(left[l]) // a for l, a in p.items()))
+        if times:
+            plan.append((p, times))
+            for l, a in p.items():
+                left[l] -= a * times
+    return plan + min(leftover(left, rounds, rate), best_fit(left), key=lambda rest: sum(times for _, times in rest))
+
+
+def leftover(have: np.ndarray, rounds: int | None = None, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
+    """Whole patterns for the pieces that rounding leaves.
 
     A length's weight is exp(-rate * its covered share).  Each table prices every length
     that isn't covered yet; its patterns are used as often as there are pieces for them,
