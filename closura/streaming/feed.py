@@ -34,6 +34,14 @@ def last_epoch(spark: SparkSession, folder: str) -> int | None:
         return None
 
 
+def known_to_spark(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether a query has run with this checkpoint: Spark keeps the query's id there."""
+    try:
+        return not spark.read.text(f"{checkpoint}/metadata").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def restore(spark: SparkSession, folder: str, state: Incremental, last: int) -> None:
     """``state`` as it was after the epoch ``last``: the sums of what the epochs brought."""
     sums = {k: consolidated(spark.read.parquet(f"{folder}/{k}").where(F.col("epoch") <= last).select(*COLS, "diff")) for k in KEPT}
@@ -50,10 +58,13 @@ def materialize_stream(feed: DataFrame, state: Incremental, out: str, checkpoint
     The facts' changes go to the folder ``out`` as Parquet, under ``epoch=N``, the schema's to
     ``out`` with ``-schema`` after it.  What each epoch brought is kept beside ``checkpoint``: a
     query that is started again takes the state up from there, whatever ``state`` held,
-    and an epoch that Spark repeats is not applied twice."""
+    and an epoch that Spark repeats is not applied twice.  A state whose checkpoint is gone is an
+    error."""
     spark, folder = feed.sparkSession, f"{checkpoint}-state"
     done = last_epoch(spark, folder)
     if done is not None:
+        if done >= 0 and not known_to_spark(spark, checkpoint):
+            raise ValueError(f"{folder} holds epochs up to {done}, but {checkpoint} is gone: epochs would be counted anew and skipped")
         restore(spark, folder, state, done)
     else:
         empty = spark.createDataFrame([], "s long, p long, o long, diff int")

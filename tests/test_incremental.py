@@ -104,3 +104,6 @@ def test_stream(spark, tmp_path):
     assert rows(again.abox) == rows(state.abox) and rows(again.tbox) == rows(state.tbox) and again.epoch == 3
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.where("diff = -1").count() == out.where("diff = 1").count() - state.abox.count()
+    (tmp_path / "cp").rename(tmp_path / "gone")  # Spark would count from 0 again, and those epochs count as done
+    with pytest.raises(ValueError, match="is gone"):
+        run()
