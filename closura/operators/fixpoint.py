@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lineage import cut, described, discard
+from .lineage import cut, described, discard, unsent
 from .primitives import COLS, union
 
 
@@ -23,11 +23,15 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataF
     rows, and ``all`` is the union of what the rounds wrote; ``known`` is never written
     again, and files that were put together are deleted."""
     first = start.select(*cols).distinct()
-    new = cut(first if known is None else first.join(known, list(cols), "left_anti"))
+    new = cut(first if known is None else first.join(unsent(known), list(cols), "left_anti"))
+    if known is not None and not new.limit(1).count():
+        return new if only_new else known
     fresh = [new]
     for k in range(most):
-        whole = _all(fresh if known is None else [known, *fresh])
-        found = step(new, whole, k).select(*cols).distinct().join(whole, list(cols), "left_anti")
+        parts = fresh if known is None else [known, *fresh]
+        whole = _all(parts)
+        side = unsent(whole, *parts)
+        found = step(unsent(new), side, k).select(*cols).distinct().join(side, list(cols), "left_anti")
         with described(start.sparkSession, f"fixpoint round {k + 1}"):
             new = cut(found)
         if not new.limit(1).count():
@@ -50,22 +54,41 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def closure(edges: DataFrame, by: tuple[str, ...] = (), most: int = 64) -> DataFrame:
     """Transitive closure of (by..., a, b) within equal ``by``: paths double in length,
-    so rounds grow with the logarithm of the longest."""
-    cols = (*by, "a", "b")
-    on = [*by, "m"]
-
-    def step(new: DataFrame, whole: DataFrame, _: int) -> DataFrame:
-        left = lambda d: d.select(*by, "a", F.col("b").alias("m"))
-        right = lambda d: d.select(*by, F.col("a").alias("m"), "b")
-        return left(new).join(right(whole), on).select(*cols).union(left(whole).join(right(new), on).select(*cols))
+    so rounds grow with the logarithm of the longest.
 
-    return fixpoint(edges, step, most, cols)
+    A round puts paths of exactly 2**k edges before all of up to 2**k: a pair at the end of one path
+    is made once, not once for each way to cut the path in two.  It ends when no path has
+    2**k edges, or nothing is new."""
+    cols = (*by, "a", "b")
+    whole = new = cut(edges.select(*cols).distinct())
+    shorter = None  # of what was found before ``new``
+    exact, last, parts = new, new, [new]
+    for k in range(most):
+        tails = exact.select(*cols).withColumn("exact", F.lit(True))
+        tails = tails.unionByName((new if k else new.limit(0)).select(*cols).withColumn("exact", F.lit(False)))
+        if shorter is not None:
+            tails = tails.unionByName(shorter.select(*cols).withColumn("exact", F.lit(False)))
+        heads = unsent(exact.select(*by, "a", F.col("b").alias("m")), last)
+        made = heads.join(unsent(tails.withColumnRenamed("a", "m"), *parts), [*by, "m"]).groupBy(*cols).agg(F.max("exact").alias("exact"))
+        made = made.join(unsent(whole.select(*cols, F.lit(True).alias("known")), *parts), list(cols), "left")
+        with described(edges.sparkSession, f"closure round {k + 1}"):
+            made = last = cut(made)
+        parts.append(made)
+        shorter, new, exact = whole, made.where("known is null and not exact").select(*cols), made.where("exact").select(*cols)
+        if not made.where("known is null").limit(1).count():
+            return whole
+        whole = whole.unionByName(made.where("known is null").select(*cols))
+        if not exact.limit(1).count():
+            return whole
+    raise Diverged(f"no closure after {most} rounds")
 
 
 def transitive_facts(facts: DataFrame, properties: DataFrame) -> DataFrame:
     """Facts closed under the transitivity of ``properties`` (p)."""
-    edges = facts.join(F.broadcast(properties.select("p").distinct()), "p", "left_semi").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
-    return union(facts, closure(edges, ("p",)).select(F.col("a").alias("s"), "p", F.col("b").alias("o"))).distinct()
+    own = F.broadcast(properties.select("p").distinct())
+    edges = facts.join(own, "p", "left_semi").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
+    closed = closure(edges, ("p",)).select(F.col("a").alias("s"), "p", F.col("b").alias("o"))
+    return union(facts.join(own, "p", "left_anti").distinct(), closed)  # both without repeats, and of different properties
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -77,13 +100,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for k in range(most):
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before or not now[0]:
-            return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+            return nodes.join(unsent(e.select(F.col("u").alias("node"), "v"), e), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = unsent(both.where("v > u"), e).join(unsent(least, e), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        links = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = unsent(large, e).join(unsent(low, e), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         with described(edges.sparkSession, f"components round {k + 1}"):
             last, e = e, cut(links.union(low.select("u", F.col("m").alias("v"))).distinct())
@@ -94,5 +117,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def same_as_pairs(edges: DataFrame) -> DataFrame:
     """All (a, b) of one class, symmetric, transitive and reflexive over its members.
     The output is quadratic in a class, as the relation is."""
-    c = components(edges)
+    return class_pairs(components(edges))
+
+
+def class_pairs(c: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the members of a class, from (node, component)."""
     return c.select(F.col("node").alias("a"), "component").join(c.select(F.col("node").alias("b"), "component"), "component").select("a", "b")
