@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab as v
 from ..operators import lists as ls
-from ..operators.fixpoint import closure, fixpoint, same_as_pairs
-from ..operators.lineage import cut
-from ..operators.primitives import TRIPLE, distinct, pairs, triples, union
+from ..operators.fixpoint import class_pairs, closure, components, fixpoint
+from ..operators.lineage import cut, unsent
+from ..operators.primitives import COLS, TRIPLE, distinct, pairs, triples, union
 from . import local, rulesets
 from .rules import Rule, apply, apply_all
 
 PROFILES = ("rdfs", "rdfspp", "owl2rl", "dummy")
 SCHEMA_ROWS = 50_000  # axioms up to which the schema is worked out on the driver
 BROADCAST_ROWS = 1_000_000  # closed axioms up to which parts of the schema are broadcast
+REPLACED_ROWS = 100_000  # members of identity classes up to which they are broadcast
 
 
 @dataclass
@@ -254,7 +255,7 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
                 out = out.unionByName(more)
             return out
 
-        identical = lambda a: stars(a, *[_table(spark, {(s,) for s, p, o in rows if o == kind and (compat or p == v.TYPE)}, "p long") for kind in kinds])
+        keyed = [_table(spark, {(s,) for s, p, o in rows if o == kind and (compat or p == v.TYPE)}, "p long") for kind in kinds]
         edges = spark.createDataFrame([(s, o) for s, p, o in rows if p == v.SAME_AS], "a long, b long")
     else:
         unrolled = ls.unrolled(lists)
@@ -266,34 +267,55 @@ def owl2rl(tbox: DataFrame, lists: DataFrame, abox: DataFrame, compat: bool = Fa
             return union(out, _intersections(tbox, lists, whole, compat), _chains(tbox, lists, whole))
 
         said = tbox if compat else tbox.where(F.col("p") == v.TYPE)
-        identical = lambda a: stars(a, *[said.where(F.col("o") == kind).select(F.col("s").alias("p")).distinct() for kind in kinds])
+        keyed = [said.where(F.col("o") == kind).select(F.col("s").alias("p")).distinct() for kind in kinds]
         edges = pairs(tbox, v.SAME_AS, "a", "b")
-    replace = [facts[k] for k in ("eq-rep-s", "eq-rep-p", "eq-rep-o")]
-    same = None
-    whole, start = None, union(abox, constant)
-    seen = -1
+    step = lambda new, all_, _: made(new, all_)
+    whole = derived = fixpoint(union(abox, constant), step)
+    fresh, same, size = whole.limit(0), None, None
     while True:
-
-        def step(new: DataFrame, all_: DataFrame, _: int, same=same) -> DataFrame:
-            out = made(new, all_)
-            return out if same is None else out.unionByName(apply_all(replace, {"A": (new, all_), "E": (None, same)}))
-
-        whole = fixpoint(start, step, known=whole)
-        more = identical(whole)
-        for x in more:
-            edges = edges.union(x.select("a", "b"))
-        edges = cut(edges.distinct())
-        if not edges.limit(1).count():
-            break
-        same = cut(same_as_pairs(edges))
-        n = same.count()
-        if n == seen:
+        grown = derived.unionByName(fresh)
+        merged = False
+        # identity is looked for again only where functional properties have new facts
+        if same is None or any(grown.join(p, "p", "left_semi").limit(1).count() for p in keyed):
+            for x in stars(whole, *keyed):
+                edges = edges.union(x.select("a", "b"))
+            edges = cut(edges.distinct())
+            if not edges.limit(1).count():
+                break
+            same = cut(components(edges))
+            # classes only grow together: as many of them over as many nodes are the same
+            now = tuple(same.agg(F.count("*"), F.countDistinct("component")).first())
+            merged, size = now != size, now
+        # what replacement made is closed under it while the classes stay
+        fresh = cut(replaced(whole if merged else derived, same).join(unsent(whole), list(COLS), "left_anti"))
+        if not fresh.limit(1).count():
             break
-        seen = n
-        start = apply_all(replace, {"A": (None, whole), "E": (None, same)})
-    if same is None:
-        same = spark.createDataFrame([], "a long, b long")
-    return whole, same
+        whole = whole.unionByName(fresh)
+        derived = fixpoint(made(fresh, whole), step, known=whole, only_new=True)
+        whole = whole.unionByName(derived)
+    return whole, spark.createDataFrame([], "a long, b long") if same is None else class_pairs(same)
+
+
+def replaced(facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The facts that eq-rep-s, eq-rep-p and eq-rep-o make of ``facts`` in the end, those with a
+    member of the classes (node, component) somewhere: members are named by their class, and what is then distinct
+    is spread over all members once, so that nothing is made twice."""
+    held = classes.limit(REPLACED_ROWS + 1).count() <= REPLACED_ROWS
+    near = lambda df, few: F.broadcast(df) if few else df.hint("merge")
+    used = facts.select(F.col("p").alias("node")).distinct()
+    at = {"s": near(classes, held), "o": near(classes, held)}
+    p = cut(classes.join(used, "node", "left_semi"))  # few if any properties have a class
+    if (n := p.limit(REPLACED_ROWS + 1).count()) > 0:
+        at["p"] = near(p, n <= REPLACED_ROWS)
+    out = facts.select(*COLS)
+    for c, of in at.items():
+        out = out.join(of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class")), c, "left")
+    named = [F.coalesce(f"{c}_class", c).alias(c) if c in at else F.col(c) for c in COLS]
+    out = out.where(" or ".join(f"{c}_class is not null" for c in at)).select(*named).distinct()
+    for c in at:
+        members = classes.select(F.col("component").alias(c), F.col("node").alias(f"{c}_node"))
+        out = out.join(near(members, held), c, "left").withColumn(c, F.coalesce(f"{c}_node", c)).drop(f"{c}_node")
+    return out.select(*COLS)
 
 
 def stars(facts: DataFrame, functional: DataFrame, inverse: DataFrame, salts: int = 64) -> list[DataFrame]:
