@@ -23,19 +23,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab as v
 from ..operators.fixpoint import fixpoint
-from ..operators.lineage import cut
+from ..operators.lineage import cut, unsent
 from ..operators.primitives import COLS, consolidated, present, union
 from ..plans import rulesets
-from ..plans.profiles import BROADCAST_ROWS, SCHEMA_ROWS, _small, close_schema, materialize, profile_of
+from ..plans.profiles import SCHEMA_ROWS, _small, close_schema, materialize, profile_of
 from ..plans.rules import apply_all, rule
 from ..sources.triples import signed
 
 LAYERS = 8
+FEW = 100_000  # facts of a batch, or suspects of a deletion, up to which they are broadcast
 
 
 def changes(old: DataFrame, new: DataFrame, epoch: int) -> DataFrame:
     """What ``new`` gained and lost over ``old``."""
-    return _tagged(new.join(old, list(COLS), "left_anti"), old.join(new, list(COLS), "left_anti"), epoch)
+    return _tagged(new.join(_few(old), list(COLS), "left_anti"), old.join(_few(new), list(COLS), "left_anti"), epoch)
 
 
 def _tagged(added: DataFrame, removed: DataFrame, epoch: int) -> DataFrame:
@@ -44,8 +45,8 @@ def _tagged(added: DataFrame, removed: DataFrame, epoch: int) -> DataFrame:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast, if it is counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` to be broadcast if it is counted to be small, else shuffled."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.hint("merge")
 
 
 @dataclass
@@ -112,7 +113,7 @@ class Incremental:
         if not self.base_layers:
             return batch.where("diff > 0").select(*COLS), batch.limit(0).select(*COLS)
         mine = self._base().join(_few(batch.select(*COLS)), list(COLS), "left_semi").groupBy(*COLS).agg(F.sum("diff").alias("was"))
-        net = cut(batch.join(mine, list(COLS), "left").select(*COLS, (F.coalesce("was", F.lit(0)) > 0).alias("was"), (F.coalesce("was", F.lit(0)) + F.col("diff") > 0).alias("now")))
+        net = cut(batch.join(unsent(mine, batch), list(COLS), "left").select(*COLS, (F.coalesce("was", F.lit(0)) > 0).alias("was"), (F.coalesce("was", F.lit(0)) + F.col("diff") > 0).alias("now")))
         return net.where("now and not was").select(*COLS), net.where("was and not now").select(*COLS)
 
     def _layered(self, batch: DataFrame) -> None:
@@ -148,16 +149,17 @@ class Incremental:
         over = back = none
         if lost.limit(1).count():
             # all that the lost facts had a part in
-            over = cut(fixpoint(lost, lambda new, _, k: made(new, old).join(old, list(COLS), "left_semi")))
+            side = unsent(old)
+            over = cut(fixpoint(lost, lambda new, _, k: made(new, side).join(side, list(COLS), "left_semi")))
             suspects = _few(over)
-            old = old.join(suspects, list(COLS), "left_anti")
+            old, self.layers = cut(old.join(suspects, list(COLS), "left_anti")), 1  # else every round sends the suspects again
             still = present(self._base().join(suspects, list(COLS), "left_semi"))
-            again = made(None, old).join(suspects, list(COLS), "left_semi")
+            again = made(None, unsent(old)).join(suspects, list(COLS), "left_semi")
             back = fixpoint(still.union(again), lambda new, whole, k: made(new, whole), known=old, only_new=True)
             old = old.union(back)
         new = fixpoint(gained, lambda new, whole, k: made(new, whole), known=old, only_new=True) if gained.limit(1).count() else none
         self.abox, self.layers = old.union(new), self.layers + 1
-        return new.join(over, list(COLS), "left_anti"), over.join(back.union(new), list(COLS), "left_anti")
+        return new.join(_few(over), list(COLS), "left_anti"), over.join(_few(back.union(new)), list(COLS), "left_anti")
 
 
 def union_signed(old: DataFrame | None, new: DataFrame) -> DataFrame:
