@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph as g
 from .functions import vocab as v
 from .operators import fixpoint as fx, lists as ls, primitives as pr
-from .operators.lineage import shared_dir
+from .operators.lineage import SENT_ROWS, cut, shared_dir, unsent
 from .plans import rulesets
 from .plans.profiles import close_schema, materialize
 from .plans.rules import Rule, apply
@@ -98,13 +99,34 @@ def rule_query(name: str, r: Rule, names: tuple[str, ...] = ALL_FACTS, schema: l
         if any(x == "E" for x, _ in r.body):
             sources["E"] = (None, same_as(spark, sf_dir))
         # the schema of these queries is a constant of some fifty rows
-        return apply(r, sources, ("T",)).distinct()
+        return _paired(r, sources, a) if r.name in ("prp-fp", "prp-ifp", "prp-trp") else apply(r, sources, ("T",)).distinct()
 
     run.__name__ = name
     _queries[name] = run
     _sql[name] = rule_sql(r, g.values_sql(schema), g.graph_sql(*names), E_SQL)
 
 
+FACTS_A_TASK = 50_000
+
+
+def _paired(r: Rule, sources: dict, facts: DataFrame) -> DataFrame:
+    """A rule that puts two facts together, in as many parts as the written facts call for.  In a chain
+    the second fact's subject is some fact's object; if those facts are few, they are broadcast, and an
+    object that most facts have is in no task of its own."""
+    facts = cut(facts)
+    parts = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts.cut_rows // FACTS_A_TASK))
+    one, two = (t for x, t in r.body if x == "A")
+    if one[2] == two[0]:
+        seconds = cut(facts.join(unsent(facts.select(F.col("o").alias("s")).distinct(), facts), "s", "left_semi").select("s", "p", "o"))
+        few = ("B",) if seconds.cut_rows <= SENT_ROWS else ()
+        last = max(i for i, (x, _) in enumerate(r.body) if x == "A")
+        r = replace(r, body=tuple(("B" if i == last else x, t) for i, (x, t) in enumerate(r.body)))
+        out = apply(r, sources | {"A": (None, facts.repartition(parts) if few else facts), "B": (None, seconds)}, ("T", *few))
+    else:
+        out = apply(r, sources | {"A": (None, facts.repartition(parts, "p", "s" if one[0] == two[0] else "o"))}, ("T",))
+    return out.repartition(parts, *out.columns).distinct()
+
+
 def same_as(spark, sf_dir: str) -> DataFrame:
     """Documents of equal content, as identity pairs (members of classes of two up)."""
     k = g.edges(spark, sf_dir, "content_key")
